@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from tesserae.llm import collapse, consolidate
+from tesserae.llm import canonical, collapse, consolidate, cube, grouped_split
 
 QUERIES = {
+    "p1_found": cube.p1_found,
+    "p1_sample": cube.p1_sample,
+    "p1_report": cube.p1_report,
+    "p2_found": grouped_split.p2_found,
+    "p2_assignment": grouped_split.p2_assignment,
+    "p2_report": grouped_split.p2_report,
+    "p3_found": canonical.p3_found,
+    "p3_report": canonical.p3_report,
     "p6_found": collapse.p6_found,
     "p6_copies": collapse.p6_copies,
     "p7_found": consolidate.p7_found,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import canonical, collapse, consolidate, cube, grouped_split
+from tesserae.llm import bpe, canonical, collapse, consolidate, cube, grouped_split, overlap
 
 QUERIES = {
     "p1_found": cube.p1_found,
@@ -13,8 +13,12 @@ QUERIES = {
     "p2_report": grouped_split.p2_report,
     "p3_found": canonical.p3_found,
     "p3_report": canonical.p3_report,
+    "p5_found": overlap.p5_found,
+    "p5_report": overlap.p5_report,
     "p6_found": collapse.p6_found,
     "p6_copies": collapse.p6_copies,
     "p7_found": consolidate.p7_found,
     "p7_group_sizes": consolidate.p7_group_sizes,
+    "p8_ids": bpe.p8_ids,
+    "p8_token_counts": bpe.p8_token_counts,
 }

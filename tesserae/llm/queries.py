@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import bpe, canonical, collapse, consolidate, cube, grouped_split, overlap
+from tesserae.llm import bpe, canonical, collapse, consolidate, cube, grouped_split, language, mixing, overlap
 
 QUERIES = {
     "p1_found": cube.p1_found,
@@ -21,4 +21,8 @@ QUERIES = {
     "p7_group_sizes": consolidate.p7_group_sizes,
     "p8_ids": bpe.p8_ids,
     "p8_token_counts": bpe.p8_token_counts,
+    "p9_mix": mixing.p9_mix,
+    "p9_report": mixing.p9_report,
+    "p10_found": language.p10_found,
+    "p10_languages": language.p10_languages,
 }

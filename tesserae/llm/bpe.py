@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tesserae.workspace import ship
 
@@ -278,7 +279,7 @@ def encode_column(df: DataFrame, text: str = "text", path: str = "", count_only:
                     part["ids"] = ids
                 yield part
 
-    schema = df.select(*keep).schema.add("n_tokens", "long") if count_only else df.select(*keep).schema.add("ids", "array<int>")
+    schema = df.select(*keep).schema.add("n_tokens", "long") if count_only else df.select(*keep).schema.add("ids", ArrayType(IntegerType()))
     return df.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
 
 

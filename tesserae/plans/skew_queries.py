@@ -8,22 +8,10 @@ from tesserae.functions.labels import emotion_of, split_of
 from tesserae.functions.text import key_of, squeeze
 from tesserae.operators.eager import eager_join, key_profile
 from tesserae.plans.catalog import query, table
-
-_W = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)"
-SQL_SPLIT = f"""CASE WHEN lower(regexp_replace(split,'\\s','','g')) IN ('train','training','1') THEN 'train'
- WHEN lower(regexp_replace(split,'\\s','','g')) IN ('val','valid','validation','dev','2') THEN 'val'
- WHEN lower(regexp_replace(split,'\\s','','g')) IN ('test','testing','3') THEN 'test' END"""
-SQL_EMOTION = f"""CASE WHEN lower(trim(unified_emotion,{_W})) IN ('neutral','happy','sad','angry','fearful','surprised','disgusted','contemptuous')
- THEN lower(trim(unified_emotion,{_W})) END"""
-
-
-def sql_key(c: str) -> str:
-    return f"CASE WHEN lower(trim({c},{_W})) NOT IN ('','null','none','nan') THEN trim({c},{_W}) END"
-
-
-def sql_trim(c: str) -> str:
-    return f"trim({c},{_W})"
-
+from tesserae.plans.sqltext import EMOTION as SQL_EMOTION
+from tesserae.plans.sqltext import SPLIT as SQL_SPLIT
+from tesserae.plans.sqltext import key as sql_key
+from tesserae.plans.sqltext import trim as sql_trim
 
 _PROFILE = """WITH r AS (SELECT {key} AS k, {split} AS split, source_dataset, {emotion} AS emotion FROM normalized_records)
 SELECT k AS {name}, count(*) AS n_rows,

@@ -39,15 +39,16 @@ def _step(x: str, y: str) -> str:
     return f"list_transform(list_zip({x}, {y}), lambda z: z[1] - z[2])"
 
 
-@query("q_trajectory", f"""WITH {_PARSED}, o AS (SELECT identity_id, a, b, {_ORDER} AS o, generated_image_path AS g FROM parsed WHERE identity_id <> '' AND a IS NOT NULL AND b IS NOT NULL),
- l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, lag(a, 2) OVER w AS ppa FROM o WINDOW w AS (PARTITION BY identity_id ORDER BY o, g, CAST(a AS VARCHAR))),
+@query("q_trajectory", f"""WITH {_PARSED}, k AS (SELECT least(min(len(a)), min(len(b))) AS k FROM parsed WHERE identity_id <> '' AND a IS NOT NULL AND b IS NOT NULL),
+ o AS (SELECT identity_id, a[1:k] AS a, b[1:k] AS b, {_ORDER} AS o, generated_image_path AS g, CAST(a AS VARCHAR) AS t FROM parsed, k WHERE identity_id <> '' AND a IS NOT NULL AND b IS NOT NULL),
+ l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, lag(a, 2) OVER w AS ppa FROM o WINDOW w AS (PARTITION BY identity_id ORDER BY o, g, t)),
  s AS (SELECT CASE WHEN pa IS NOT NULL THEN {_step('a', 'pa')} END AS di, CASE WHEN pb IS NOT NULL THEN {_step('b', 'pb')} END AS df, CASE WHEN ppa IS NOT NULL THEN {_step('pa', 'ppa')} END AS pi FROM l),
  n AS (SELECT *, sqrt({S.dot('di', 'di')}) AS ndi, sqrt({S.dot('df', 'df')}) AS ndf, sqrt({S.dot('pi', 'pi')}) AS npi FROM s)
 SELECT round(avg(CASE WHEN ndi > 1e-8 AND ndf > 1e-8 THEN ({S.dot('di', 'df')} / ((ndi + 1e-8) * (ndf + 1e-8)) + 1) / 2 END), 4) AS ts,
  round(avg(CASE WHEN ndi > 1e-8 AND npi > 1e-8 THEN (1 - {S.dot('pi', 'di')} / ((npi + 1e-8) * (ndi + 1e-8))) / 2 END), 4) AS gc FROM n""")
 def q_trajectory(spark, sf_dir):
     """Smoothness and curvature of attribute vectors against identity vectors along each identity's predictions."""
-    p = _predictions(spark, sf_dir).where("a IS NOT NULL AND b IS NOT NULL").withColumn("o", F.struct("generated_image_path", "a"))
+    p = _predictions(spark, sf_dir).where("a IS NOT NULL AND b IS NOT NULL").withColumn("o", F.struct("generated_image_path", F.array_join("a", ",")))
     return metrics.trajectory(p, "identity_id", "target_emotion", "o", "a", "b").select(F.round("ts", 4).alias("ts"), F.round("gc", 4).alias("gc"))
 
 

@@ -31,6 +31,7 @@ BACKGROUND = 0.02
 LEAST_LABEL_SHARE = 0.003
 LEAST_WORDS, SENTENCE_WORDS, CHANGE_COST = 5, 5, 12.0
 DEPENDENCE = 9.0
+REPEATS = 2
 MISSING = ("", "und", "unknown", "xx", "n/a")
 
 _STOP = re.compile(r"(?<=[.!?\u2026\u3002\uff01\uff1f])[\"'\u201d\u00bb)\]]*\s+|[\r\n\u2028\u2029\x0b\x0c]+|\s+[|/\u2014\u2013]+\s+")
@@ -99,6 +100,18 @@ def hashed_grams(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return b[order], o[order]
 
 
+def _chunks(lines: Sequence[str], most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about ``most`` characters each; a longer line is a range of its own."""
+    lo = size = 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(x)
+    if lo < len(lines):
+        yield lo, len(lines)
+
+
 class Model:
     """Log-probabilities [BUCKETS, languages]."""
 
@@ -113,17 +126,11 @@ class Model:
     def score(self, lines: Sequence[str]) -> np.ndarray:
         """Log-likelihood of every line under every language; a batch at a time."""
         out = np.zeros((len(lines), len(self.languages)))
-        lo = 0
-        while lo < len(lines):
-            hi, size = lo, 0
-            while hi < len(lines) and (size == 0 or size + len(lines[hi]) <= 200_000):
-                size += len(lines[hi])
-                hi += 1
+        for lo, hi in _chunks(lines):
             b, o = hashed_grams(lines[lo:hi])
             if b.size:
                 at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 out[lo + o[at]] = np.add.reduceat(self.log[b], at, axis=0)
-            lo = hi
         return out
 
     def stretches(self, weighty: Sequence[bool], scores: np.ndarray) -> list[tuple[int, float]]:
@@ -192,10 +199,13 @@ def _counts(ws: Workspace, sample: DataFrame, languages: list[str], model: Model
                         tags += _cheapest_path(s[np.array(weighty)], CHANGE_COST).tolist()
             bare = [without_marks(x) for x in lines]  # texts may come without their accents
             changed = [i for i, (x, y) in enumerate(zip(lines, bare)) if x != y]
-            tag = np.array(tags + [tags[i] for i in changed], dtype=np.int64)
-            b, o = hashed_grams(lines + [bare[i] for i in changed])
-            if b.size:
-                total += np.bincount(b * len(languages) + tag[o], minlength=total.size)
+            tag, every = np.array(tags + [tags[i] for i in changed], dtype=np.int64), lines + [bare[i] for i in changed]
+            for lo, hi in _chunks(every):
+                b, o = hashed_grams(every[lo:hi])
+                # an n-gram counts REPEATS times a sentence at most, so that no endless text speaks for its language
+                seen, times = np.unique(o * BUCKETS + b, return_counts=True)
+                cell = seen % BUCKETS * len(languages) + tag[lo + seen // BUCKETS]
+                total += np.bincount(cell, weights=np.minimum(times, REPEATS), minlength=total.size)
         cell = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cell, "n": total[cell].astype(np.int64)})
 

@@ -263,7 +263,7 @@ def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy
 
     Groups(group_id, size, split). A small group with ambiguous audio of enough warnings is moved to train (if preferred) or
     dropped. Else a small group goes to the split that most of its warnings name, if that clearly wins and the sizes stay
-    within the allowed deviation; one with many warnings of a risky kind is dropped. Folds over the groups with warnings, most
+    within the allowed deviation, and nothing was moved the other way in this round; one with many warnings of a risky kind is dropped. Folds over the groups with warnings, most
     warnings first, in one task; a group comes with a handful of numbers.
     """
     ship(groups.sparkSession)
@@ -277,7 +277,7 @@ def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy
     goal = targets(sum(start.values()), policy, False)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        n, out = dict(start), []
+        n, out, went = dict(start), [], set()
         for r in f.sort_values(["n", "size", "group_id"], ascending=[False, True, True]).rename(columns={"size": "size_"}).itertuples():
             moved = lambda s: {x: n[x] - (r.size_ if x == r.split else 0) + (r.size_ if x == s else 0) for x in SPLITS}  # noqa: B023, E731
             fits = lambda s: size_penalty(moved(s), goal) <= size_penalty(n, goal) + policy.deviation  # noqa: B023, E731
@@ -285,12 +285,14 @@ def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy
             votes = sorted(((getattr(r, f"to_{s}"), -SPLITS.index(s), s) for s in SPLITS), reverse=True)
             if r.ambiguous >= policy.ambiguous_from and r.size_ <= policy.drop_up_to:
                 action, to = ("reassign", "train") if policy.prefer_train and r.split != "train" and fits("train") else ("drop", None)
-            elif r.size_ <= policy.reassign_up_to and votes[0][2] != r.split and votes[0][0] > (1 + policy.winner_ratio) * votes[1][0] and fits(votes[0][2]):
+            elif (r.size_ <= policy.reassign_up_to and votes[0][2] != r.split and (votes[0][2], r.split) not in went
+                  and votes[0][0] > (1 + policy.winner_ratio) * votes[1][0] and fits(votes[0][2])):
                 action, to = "reassign", votes[0][2]
             elif r.n >= policy.drop_from_warnings and r.risky >= policy.drop_from_kinds and r.size_ <= policy.drop_up_to and fits(None):
                 action = "drop"
             if action:
                 n.update(moved(to))
+                went.add((r.split, to))
                 out.append((r.group_id, r.split, action, to))
         return pd.DataFrame(out, columns=["group_id", "from_split", "action", "to_split"])
 

@@ -63,3 +63,35 @@ def checks(rows: DataFrame, id_col: str = "sample_id") -> DataFrame:
     long = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in ("missing_ids", "unknown_splits", "no_modality")])).alias("x")).select("x.check", "x.n")
     out = long.unionByName(dup.select(F.lit("repeated_ids").alias("check"), "n"))
     return out.withColumn("status", F.when(F.col("n") > 0, "FAIL").otherwise("PASS"))
+
+
+def synthesised_path(root: str, folder: str, split, emotion, sample_id, suffix: str = "") -> Column:
+    """root/folder/split/emotion/sample_id+suffix."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat_ws("/", F.lit(root.rstrip("/")), F.lit(folder), c(split), c(emotion), F.concat(c(sample_id), F.lit(suffix)))
+
+
+def path_or_placeholder(path, prefix: str, row) -> Column:
+    """The path, or ``prefix::row`` where it is missing."""
+    from tesserae.functions.text import is_missing
+
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.when(is_missing(c(path)), F.concat(F.lit(f"{prefix}::"), c(row).cast("string"))).otherwise(c(path))
+
+
+def modality_letters(image="has_image", audio="has_audio", text="has_text") -> Column:
+    """I, A and T where a modality is there, an underscore where not."""
+    return F.concat(*[F.when(F.coalesce(F.col(c), F.lit(False)), letter).otherwise("_") for c, letter in ((image, "I"), (audio, "A"), (text, "T"))])
+
+
+def bundle(spark, folder: str, name: str, facts: dict) -> dict:
+    """Manifest of a benchmark folder: every file with size and SHA-256, read in parallel, and a short card in Markdown.
+
+    One row per file comes to the driver; contents stay on the executors.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    rows = files.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
+    prefix = folder.rstrip("/") + "/"
+    listed = [{"path": r.path.split(prefix, 1)[-1], "bytes": r.length, "sha256": r.sha256} for r in rows]
+    card = "\n".join([f"# {name}", "", *[f"- {k}: {v}" for k, v in sorted(facts.items())], "", "| file | bytes |", "| --- | --- |", *[f"| {x['path']} | {x['bytes']} |" for x in listed]])
+    return {"name": name, "facts": facts, "files": listed, "card": card}

@@ -309,3 +309,33 @@ def test_stars_need_two_rows(spark):
 def test_stub_vectors(spark):
     a = media.stub_vectors(spark.createDataFrame([("x",), ("x",), (None,)], "k string"), "k").collect()
     assert a[0].vector == a[1].vector and np.linalg.norm(a[0].vector) == pytest.approx(1.0) and a[2].vector is None
+
+
+def test_configuration(tmp_path):
+    from tesserae.sources import config
+
+    (tmp_path / "a.yaml").write_text("x: {y: 1, z: 2}\nw: 3\n")
+    (tmp_path / "b.yaml").write_text("base_config: a.yaml\nx: {y: 5}\n")
+    got = config.load(tmp_path / "b.yaml")
+    assert got == {"x": {"y": 5, "z": 2}, "w": 3} and config.fingerprint(got) == config.fingerprint(dict(reversed(got.items())))
+    assert config.section(splits.Policy, {"reserve": 1.04, "unknown": 1}).reserve == 1.04
+    with pytest.raises(ValueError):
+        splits.Policy(train=0.9)
+
+
+def test_stages_stop():
+    import time
+
+    from tesserae.plans import stages
+
+    r = stages.run([("a", lambda r: 1), ("b", lambda r: time.sleep(0.05) or r["a"] + 1), ("c", lambda r: 9)], stop_after_seconds=0.04)
+    assert r["results"] == {"a": 1, "b": 2} and r["stopped_after"] == "b" == r["slowest"]
+
+
+def test_paths_and_bundle(spark, tmp_path):
+    df = spark.createDataFrame([("train", "sad", "s1", " nan", 4, True, None)], "split string, e string, id string, p string, n int, i boolean, a boolean")
+    r = df.select(export.synthesised_path("/r/", "images", "split", "e", "id", ".jpg").alias("x"), export.path_or_placeholder("p", "img", "n").alias("y"), export.modality_letters("i", "a", "a").alias("z")).first()
+    assert tuple(r) == ("/r/images/train/sad/s1.jpg", "img::4", "I__")
+    (tmp_path / "f.txt").write_text("abc")
+    b = export.bundle(spark, str(tmp_path), "bench", {"rows": 3})
+    assert b["files"][0]["path"] == "f.txt" and b["files"][0]["sha256"].startswith("ba7816bf") and "rows: 3" in b["card"]

@@ -24,7 +24,8 @@ from tesserae.workspace import Workspace
 
 #: Labelled documents the model is fitted on at most (a seeded sample; all of them where there are fewer).
 TRAIN_DOCUMENTS = 20_000
-BUCKETS, ORDERS = 1 << 16, (2, 3, 4)
+BITS, ORDERS = 16, (2, 3, 4)
+BUCKETS = 1 << BITS
 #: Share of the background in a language's n-gram probabilities.
 BACKGROUND = 0.02
 #: Labels of fewer than this share of the labelled sample are no languages of their own.
@@ -38,13 +39,15 @@ _STOP = re.compile(r"(?<=[.!?\u2026\u3002\uff01\uff1f])[\"'\u201d\u00bb)\]]*\s+|
 _ASIDE = re.compile(r"\"[^\"\n]{1,60}\"|\u201c[^\u201d\n]{1,60}\u201d|\u00ab[^\u00bb\n]{1,60}\u00bb|\([^()\n]{1,60}\)|\[[^\[\]\n]{1,60}\]|<[^<>\n]{1,40}>")
 _WITH_DIGIT = re.compile(r"\S*\d\S*")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_TOKEN = re.compile(r"\S*[^\W\d_]\S*")
+_DIGIT = re.compile(r"\d")
+_OPENS = re.compile("[\"\u201c\u00ab(\\[<]")
 _LETTER_WORDS = re.compile(r"[^\W_]+")
 
 
 def _tokens(s: str) -> int:
     """Parts between white space that have letters and no digits."""
-    return sum(1 for t in _WITH_DIGIT.sub(" ", s).split() if _LETTER.search(t))
+    return len(_TOKEN.findall(_WITH_DIGIT.sub(" ", s) if _DIGIT.search(s) else s))
 
 
 def _aside(m: re.Match) -> str:
@@ -58,11 +61,14 @@ def sentences(text: str) -> list[tuple[str, bool]]:
     Asides and words with digits are left out, and so is what then has no letters.
     """
     out = []
-    for s in _STOP.split(unicodedata.normalize("NFC", text)):
-        s = _WITH_DIGIT.sub(" ", _ASIDE.sub(_aside, s))
+    for s in _STOP.split(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)):
+        if _OPENS.search(s):
+            s = _ASIDE.sub(_aside, s)
+        if _DIGIT.search(s):
+            s = _WITH_DIGIT.sub(" ", s)
         line = _NOT_LETTERS.sub(" ", s).strip().lower()
         if line:
-            out.append((line, _tokens(s) >= SENTENCE_WORDS))
+            out.append((line, len(_TOKEN.findall(s)) >= SENTENCE_WORDS))
     return out
 
 
@@ -75,29 +81,23 @@ def without_marks(s: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFD", s) if not unicodedata.combining(ch))
 
 
-def hashed_grams(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all character n-grams, the line of each), lines padded by a space; grouped by line."""
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def hashed_grams(lines: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, lines) of the character n-grams of every order, lines padded by a space; each in the order of the lines."""
     padded = [f" {x} " for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     cp = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    buckets, owners = [], []
-    for n in ORDERS:
+    owner = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
+    out, h = [], cp.copy()
+    for n in range(2, max(ORDERS) + 1):  # the hash of n code points from that of n - 1
         m = cp.size - n + 1
         if m <= 0:
-            continue
-        h = np.full(m, n, np.uint64)
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) ^ cp[k : k + m]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        inside = owner[:m] == owner[n - 1 :]
-        buckets.append((h >> np.uint64(48))[inside].astype(np.int64) % BUCKETS)
-        owners.append(owner[:m][inside])
-    b, o = np.concatenate(buckets), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return b[order], o[order]
+            break
+        h = h[:m] * np.uint64(0x100000001B3) ^ cp[n - 1 :]
+        if n in ORDERS:
+            mixed = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
+            inside = owner[:m] == owner[n - 1 :]
+            out.append((mixed[inside].astype(np.int32), owner[:m][inside]))
+    return out
 
 
 def _chunks(lines: Sequence[str], most: int = 200_000) -> Iterator[tuple[int, int]]:
@@ -113,7 +113,7 @@ def _chunks(lines: Sequence[str], most: int = 200_000) -> Iterator[tuple[int, in
 
 
 class Model:
-    """Log-probabilities [BUCKETS, languages]."""
+    """Log-probabilities [languages, BUCKETS], fitted from counts [BUCKETS, languages]."""
 
     def __init__(self, languages: Sequence[str], counts: np.ndarray):
         self.languages = list(languages)
@@ -121,36 +121,41 @@ class Model:
         whole = counts.sum(axis=1, keepdims=True)
         background = (whole + 1.0) / (whole.sum() + BUCKETS)
         share = np.divide(counts, per_language, out=np.zeros_like(counts, dtype=float), where=per_language > 0)
-        self.log = np.log((1 - BACKGROUND) * share + BACKGROUND * background).astype(np.float32)
+        # a contiguous row of BUCKETS numbers per language
+        self.log = np.ascontiguousarray(np.log((1 - BACKGROUND) * share + BACKGROUND * background).T.astype(np.float32))
 
     def score(self, lines: Sequence[str]) -> np.ndarray:
         """Log-likelihood of every line under every language; a batch at a time."""
         out = np.zeros((len(lines), len(self.languages)))
         for lo, hi in _chunks(lines):
-            b, o = hashed_grams(lines[lo:hi])
-            if b.size:
-                at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-                out[lo + o[at]] = np.add.reduceat(self.log[b], at, axis=0)
+            for b, o in hashed_grams(lines[lo:hi]):
+                if b.size:
+                    at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+                    rows = lo + o[at]
+                    for k, log in enumerate(self.log):
+                        out[rows, k] += np.add.reduceat(log[b], at)
         return out
 
-    def stretches(self, weighty: Sequence[bool], scores: np.ndarray) -> list[tuple[int, float]]:
-        """(language, confidence) of the maximal stretches of a text's sentences, in order; none for an empty text.
+    def stretches(self, weighty: np.ndarray, scores: np.ndarray, best: np.ndarray) -> list[tuple[int, float]]:
+        """(language, confidence) of the maximal stretches of a text's sentences, in order.
 
-        A text without a whole sentence is one stretch.
+        ``best`` is the best language of each sentence by itself. A text without a whole sentence is one stretch.
         """
-        if not len(weighty):
-            return []
-        s = scores[np.asarray(weighty)] if any(weighty) else scores.sum(axis=0, keepdims=True)
-        best = s.argmax(axis=1)
-        if (best != best[0]).any():
-            best = _cheapest_path(s, CHANGE_COST)
-        out, at = [], np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-        for lo, hi in zip(at, np.r_[at[1:], best.size]):
-            # n-grams overlap: about one in DEPENDENCE tells something of its own
-            total = s[lo:hi].sum(axis=0) / DEPENDENCE
-            z = np.exp(total - total.max())
-            out.append((int(best[lo]), float(z[best[lo]] / z.sum())))
-        return out
+        if not weighty.any():
+            scores, best = scores.sum(axis=0, keepdims=True), scores.sum(axis=0, keepdims=True).argmax(axis=1)
+        elif not weighty.all():
+            scores, best = scores[weighty], best[weighty]
+        if (best == best[0]).all():
+            return [(int(best[0]), self.confidence(scores.sum(axis=0), best[0]))]
+        path = _cheapest_path(scores, CHANGE_COST)
+        at = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+        return [(int(path[lo]), self.confidence(scores[lo:hi].sum(axis=0), path[lo])) for lo, hi in zip(at, np.r_[at[1:], path.size])]
+
+    @staticmethod
+    def confidence(total: np.ndarray, lang: int) -> float:
+        """The posterior of a language. N-grams overlap: about one in DEPENDENCE tells something of its own."""
+        z = np.exp((total - total.max()) / DEPENDENCE)
+        return float(z[lang] / z.sum())
 
 
 def _cheapest_path(s: np.ndarray, cost: float) -> np.ndarray:
@@ -201,11 +206,11 @@ def _counts(ws: Workspace, sample: DataFrame, languages: list[str], model: Model
             changed = [i for i, (x, y) in enumerate(zip(lines, bare)) if x != y]
             tag, every = np.array(tags + [tags[i] for i in changed], dtype=np.int64), lines + [bare[i] for i in changed]
             for lo, hi in _chunks(every):
-                b, o = hashed_grams(every[lo:hi])
-                # an n-gram counts REPEATS times a sentence at most, so that no endless text speaks for its language
-                seen, times = np.unique(o * BUCKETS + b, return_counts=True)
-                cell = seen % BUCKETS * len(languages) + tag[lo + seen // BUCKETS]
-                total += np.bincount(cell, weights=np.minimum(times, REPEATS), minlength=total.size)
+                for b, o in hashed_grams(every[lo:hi]):
+                    # an n-gram counts REPEATS times a sentence at most, so that no endless text speaks for its language
+                    seen, times = np.unique(o.astype(np.int64) * BUCKETS + b, return_counts=True)
+                    cell = seen % BUCKETS * len(languages) + tag[lo + seen // BUCKETS]
+                    np.add.at(total, cell, np.minimum(times, REPEATS))
         cell = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cell, "n": total[cell].astype(np.int64)})
 
@@ -248,13 +253,17 @@ def languages_of(documents: DataFrame) -> DataFrame:
         m = shared.value
         for f in frames:
             per_doc = [sentences(t) for t in f["text"]]
-            scores, lo, out = m.score([x for mine in per_doc for x, _ in mine]), 0, []
+            flat = [x for mine in per_doc for x in mine]
+            scores, weighty = m.score([x for x, _ in flat]), np.array([w for _, w in flat], dtype=bool)
+            best, lo, out = (scores.argmax(axis=1) if flat else np.zeros(0, int)), 0, []
             for doc_id, text, label, mine in zip(f["doc_id"], f["text"], f["label"], per_doc):
-                found = m.stretches([w for _, w in mine], scores[lo : lo + len(mine)])
-                lo += len(mine)
-                n_words = letter_words(text)
-                for k, (i, conf) in enumerate(found):
-                    out.append((doc_id, n_words, label, len(found), k + 1 if len(found) > 1 else 0, m.languages[i], conf))
+                if mine:
+                    w = weighty[lo : lo + len(mine)]
+                    found = m.stretches(w, scores[lo : lo + len(mine)], best[lo : lo + len(mine)])
+                    lo += len(mine)
+                    n_words = letter_words(text)
+                    for k, (i, conf) in enumerate(found):
+                        out.append((doc_id, n_words, label, len(found), k + 1 if len(found) > 1 else 0, m.languages[i], conf))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "label", "n_stretches", "segment_no", "lang", "confidence"])
 
     texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", label_of().alias("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import _c, token_line
+from tesserae.functions.vectors import let
 
 
 def digest(c) -> Column:
@@ -22,15 +23,17 @@ def text_digest(c) -> Column:
 def digest_mod(c, n) -> Column:
     """The 256-bit digest, read as a number, modulo ``n`` (up to 2**30), eight hexadecimal digits at a time."""
     n = F.lit(n).cast("long") if isinstance(n, int) else _c(n).cast("long")
-    hexed = digest(c)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexed, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: (acc * 4294967296 + x) % n)
+
+    def fold(hexed: Column) -> Column:
+        parts = F.array(*[F.conv(F.substring(hexed, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)])
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: (acc * 4294967296 + x) % n)
+
+    return let(digest(c), fold)
 
 
 def hash_split(c, train: float = 0.7, val: float = 0.15) -> Column:
     """train, val or test by the digest's residue over 10,000 against the cumulative shares."""
-    v = digest_mod(c, 10_000) / F.lit(10_000.0)
-    return F.when(v < train, "train").when(v < train + val, "val").otherwise("test")
+    return let(digest_mod(c, 10_000) / F.lit(10_000.0), lambda v: F.when(v < train, "train").when(v < train + val, "val").otherwise("test"))
 
 
 def anonymous_id(c, prefix: str = "id_") -> Column:

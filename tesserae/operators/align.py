@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.hashing import digest_mod, hash_split
 from tesserae.functions.labels import RELATED, TAXONOMY, emotion_match, taxonomy_index
-from tesserae.functions.vectors import clamp01, cosine_same_size
+from tesserae.functions.vectors import clamp01, dot, let, norm, normalised
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def looked_at(anchors: DataFrame, counts: DataFrame, salt: str, limit: int = LOO
     a = anchors.join(F.broadcast(total), anchors.anchor_emotion == total.anchor_emotion).drop(total.anchor_emotion)
     start = F.when(F.col("n") <= limit, F.lit(0).cast("long")).otherwise(digest_mod(F.concat(F.lit(f"{salt}:"), F.col("anchor_id").cast("string")), F.col("n")))
     step = F.when(F.col("n") <= limit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n") / limit)))
-    picks = F.transform(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(limit)) - 1), lambda k: (start + k * step) % F.col("n"))
+    picks = let(start, lambda s: F.transform(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(limit)) - 1), lambda k: (s + k * step) % F.col("n")))
     a = a.select(*anchors.columns, F.posexplode(picks).alias("ordinal", "at"))
     joined = a.join(F.broadcast(rel), (a.anchor_emotion == rel.anchor_emotion) & (a["at"] >= rel.lo) & (a["at"] < rel.lo + rel.n_emotion))
     return joined.select(*[a[c] for c in anchors.columns], "ordinal", F.col("emotion").alias("unified_emotion"), (F.col("at") - F.col("lo")).alias("place"))
@@ -94,10 +94,12 @@ def candidates(anchors: DataFrame, pool: DataFrame, id_col: str, vec: str, salt:
     anchors(anchor_id, anchor_emotion, anchor_vec); pool(id_col, dataset_source, unified_emotion, vec, ...). Similarity falling,
     then the order in which the pool was looked at.
     """
-    rows, counts = numbered_pools(pool.where(F.col("unified_emotion").isin(*TAXONOMY)), id_col)
-    seen = looked_at(anchors, counts, salt, limit).join(rows, ["unified_emotion", "place"])
+    # unit vectors once per row, so that a pair costs one product; the zero vector has none and is similar to nothing
+    unit = lambda c: F.when(norm(c) > 0, normalised(c))
+    rows, counts = numbered_pools(pool.where(F.col("unified_emotion").isin(*TAXONOMY)).withColumn("_v", unit(vec)).drop(vec), id_col)
+    seen = looked_at(anchors.withColumn("_a", unit("anchor_vec")).drop("anchor_vec"), counts, salt, limit).join(rows, ["unified_emotion", "place"])
     seen = seen.withColumn("emotion_score", emotion_match("anchor_emotion", "unified_emotion")).where("emotion_score > 0")
-    seen = seen.withColumn("similarity", F.round(cosine_same_size("anchor_vec", vec), 9))
+    seen = seen.withColumn("similarity", F.round(F.coalesce(clamp01((dot("_a", "_v") + 1) / 2), F.lit(0.0)), 9)).drop("_a", "_v")
     best = Window.partitionBy("anchor_id").orderBy(F.desc("similarity"), F.desc("emotion_score"), "ordinal")
     return seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= kept).drop("place")
 

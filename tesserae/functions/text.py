@@ -54,7 +54,7 @@ def token_line(c) -> Column:
 def clean_text(c) -> Column:
     """Line breaks to spaces, doubled quotes to one, white space collapsed; blank becomes null."""
     t = F.replace(F.regexp_replace(_c(c), "[\r\n]", " "), F.lit('""'), F.lit('"'))
-    return F.nullif(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(t, f"[{WHITE}]+", " ")), F.lit(""))
 
 
 def is_meaningful(c, least: int = 3) -> Column:

@@ -71,8 +71,11 @@ def token_line(c: str) -> str:
     return f"array_to_string({tokens(c)}, ' ')"
 
 
+_RUN = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
 def clean(c: str) -> str:
-    return f"nullif(trim(regexp_replace(replace(regexp_replace({c}, '[\\r\\n]', ' ', 'g'), '\"\"', '\"'), '\\s+', ' ', 'g')), '')"
+    return f"nullif(trim(regexp_replace(replace(regexp_replace({c}, '[\\r\\n]', ' ', 'g'), '\"\"', '\"'), '{_RUN}', ' ', 'g'), ' '), '')"
 
 
 def dot(a: str, b: str) -> str:

@@ -214,6 +214,23 @@ def test_overlap_against_brute_force(spark, records):
     assert nothing.sample_pairs().count() == 0 and nothing.report().count() == 0
 
 
+@pytest.mark.parametrize("n", [18, 240])
+def test_variants_of_one_text_are_a_third_of_all(spark, records, n):
+    rng = np.random.default_rng(3)
+    form, texts = [f"form{i}" for i in range(40)], []
+    for i in range(n):
+        t = list(form) if i % 3 == 0 else [f"w{k}" for k in rng.integers(0, 5000, 40)]
+        if i % 3 == 0:
+            for k in rng.choice(40, 4, replace=False):
+                t[k] = f"own{i}x{k}"
+        texts.append(t)
+    side = ["train" if (i // 3) % 2 else "val" for i in range(n)]
+    r = records(*[dict(record_id=i, sample_id=f"s{i:03d}", split=side[i], source_dataset="src", text=" ".join(t)) for i, t in enumerate(texts)])
+    run = overlap.Overlap(r, spark.createDataFrame([], "media_path string, media_kind string"))
+    want = {(f"s{i:03d}", f"s{j:03d}") for i, j in itertools.combinations(range(n), 2) if side[i] != side[j] and lcs(texts[i], texts[j]) >= 32}
+    assert len(want) == (n // 6) ** 2 and pairs(run.sample_pairs()) == want
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hot", [20_000, 3])

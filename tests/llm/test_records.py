@@ -231,6 +231,20 @@ def test_variants_of_one_text_are_a_third_of_all(spark, records, n):
     assert len(want) == (n // 6) ** 2 and pairs(run.sample_pairs()) == want
 
 
+def test_blocks_and_radius_lose_few_of_the_least_near_pairs():
+    rng = np.random.default_rng(5)
+    left = [[f"w{k}" for k in rng.integers(0, 5000, 40)] for _ in range(1000)]
+    right = [list(t) for t in left]
+    for t in right:
+        for k in rng.choice(40, 8, replace=False):
+            t[k] = f"w{rng.integers(0, 5000)}"
+    (low, high, blocks), (low_, high_, blocks_) = (overlap.fingerprints([" ".join(t) for t in x], frozenset()) for x in (left, right))
+    differ = np.array([(int(a) ^ int(b)).bit_count() for a, b in zip(low.view(np.uint64), low_.view(np.uint64))]) + [
+        (int(a) ^ int(b)).bit_count() for a, b in zip(high.view(np.uint64), high_.view(np.uint64))]
+    lost = ~((blocks == blocks_).any(axis=1) & (differ <= overlap.RADIUS))
+    assert all(lcs(a, b) >= 32 for a, b in zip(left[:50], right)) and lost.mean() < 0.02, lost.mean()
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hot", [20_000, 3])

@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions import vectors as V
 from tesserae.functions.hashing import digest_mod
 from tesserae.functions.labels import SPLITS
 from tesserae.functions.text import token_line
-from tesserae.operators.components import labelled, star_edges
+from tesserae.operators.blocking import blocked_pairs
+from tesserae.operators.components import connected_components, labelled, star_edges
 from tesserae.workspace import ship
 
 
@@ -43,6 +45,11 @@ class Policy:
     winner_ratio: float = 0.15
     rounds: int = 7
     deviation: float = 0.08
+    hash_bits: int = 2
+    face_similarity: float = 0.98
+    audio_similarity: float = 0.97
+    image_similarity: float = 0.985
+    proxy_similarity: float = 0.992
     seed: int = 0
     batch_size: int = 128
     text_similarity: float = 0.98
@@ -240,14 +247,92 @@ def directional_conflicts(members: DataFrame, bucket: str, kind: str) -> DataFra
     return mine.join(theirs, bucket).where("split <> other_split").groupBy("group_id", "split", "other_split").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
 
 
-def soft_conflicts(members: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Warnings of exact text, exact audio (buckets that may be linked) and ambiguous audio (those that may not), of members(group_id, split, text_key, audio_path, ...)."""
+def _across(rows: DataFrame, block: Column, id_col: str, score, least: float, other_source: bool) -> DataFrame:
+    """Pairs of one block in two splits (and in two sources) whose score of their ``_value`` is at least ``least``."""
+    carry = [c for c in ("group_id", "dataset_source") if c in rows.columns]
+    apart = lambda a, b: ~a("dataset_source").eqNullSafe(b("dataset_source")) if other_source else F.lit(True)
+    pairs = blocked_pairs(rows.withColumn("_block", block), ["_block"], id_col, ["_value", *carry], lambda a, b: apart(a, b) & (score(a("_value"), b("_value")) >= least), different=["split"])
+    return pairs.withColumn("score", score(F.col("left__value"), F.col("right__value"))).drop("_block", "left__value", "right__value")
+
+
+def hash_pairs(rows: DataFrame, column: str, bits: int, other_source: bool = False, id_col: str = "record_id") -> DataFrame:
+    """(left_id, right_id, left_split, right_split, ..., score) of rows in two splits whose hashes begin with the same six digits and differ in at most ``bits`` bits."""
+    have = rows.where(F.col(column).isNotNull()).withColumn("_value", F.col(column))
+    return _across(have, F.substring("_value", 1, 6), id_col, lambda a, b: 1 - V.hamming(a, b) / F.lit(64.0), 1 - bits / 64, other_source)
+
+
+def vector_pairs(rows: DataFrame, column: str, least: float, other_source: bool = False, id_col: str = "record_id") -> DataFrame:
+    """As ``hash_pairs`` for vectors of one sign signature whose unit cosine is at least ``least``."""
+    have = rows.where(F.col(column).isNotNull()).withColumn("_value", F.col(column))
+    return _across(have, V.sign_code("_value"), id_col, V.cosine_unit, least, other_source)
+
+
+def near_pairs(members: DataFrame, policy: Policy = Policy(), id_col: str = "record_id") -> DataFrame | None:
+    """(kind, left_group_id, right_group_id, left_split, right_split): similar faces, audio and images across splits, and images also across sources.
+
+    Reads those of the columns face_hash, image_hash, face_vector, audio_vector and image_vector that the members have; None
+    if they have none. A hash stands in for a row without the vector; image_hash stands in for face_hash.
+    """
+    have, out = set(members.columns), []
+
+    def add(pairs: DataFrame, kind: str, extra: str | None = None, from_score: float = 1.0) -> None:
+        cols = [F.col(c) for c in ("left_group_id", "right_group_id", "left_split", "right_split")]
+        out.append(pairs.select(F.lit(kind).alias("kind"), *cols))
+        if extra:
+            out.append(pairs.where(F.col("score") >= from_score).select(F.lit(extra).alias("kind"), *cols))
+
+    without = lambda c: members.where(F.col(c).isNull()) if c in have else members
+    face = next((c for c in ("face_hash", "image_hash") if c in have), None)
+    if face:
+        rows = without("face_vector")
+        if face == "face_hash" and "image_hash" in have:
+            rows = rows.withColumn("face_hash", F.coalesce("face_hash", "image_hash"))
+        add(hash_pairs(rows, face, policy.hash_bits, id_col=id_col), "face_similarity", "proxy_identity_cluster")
+    if "face_vector" in have:
+        add(vector_pairs(members, "face_vector", policy.face_similarity, id_col=id_col), "face_similarity", "proxy_identity_cluster", policy.proxy_similarity)
+    if "audio_vector" in have:
+        add(vector_pairs(members, "audio_vector", policy.audio_similarity, id_col=id_col), "audio_similarity", "proxy_speaker_cluster", policy.proxy_similarity)
+    for kind, other in (("image_similarity", False), ("cross_dataset_similarity", True)):
+        if "image_hash" in have:
+            add(hash_pairs(without("image_vector"), "image_hash", policy.hash_bits, other, id_col), kind)
+        if "image_vector" in have:
+            add(vector_pairs(members, "image_vector", policy.image_similarity, other, id_col), kind)
+    found = out[0] if out else None
+    for p in out[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def pairwise_conflicts(pairs: DataFrame) -> DataFrame:
+    """(kind, group_id, split, other_split, n): each pair warns both of its groups."""
+    side = lambda a, b: F.struct(F.col(f"{a}_group_id").alias("group_id"), F.col(f"{a}_split").alias("split"), F.col(f"{b}_split").alias("other_split"))
+    both = pairs.select("kind", F.explode(F.array(side("left", "right"), side("right", "left"))).alias("x")).select("kind", "x.*")
+    return both.groupBy("group_id", "split", "other_split", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repair_components(members: DataFrame, policy: Policy = Policy(), pairs: DataFrame | None = None) -> DataFrame:
+    """(group_id, kind, component): groups of two splits or more that one linkable audio file, or a chain of similar images, holds together."""
+    ok = audio_buckets(members, policy).where("refusal IS NULL").select("audio_path")
+    have = members.where(F.col("split").isNotNull()).join(ok, "audio_path").select("audio_path", "group_id", "split").distinct()
+    wide = have.groupBy("audio_path").agg(F.countDistinct("split").alias("n")).where("n > 1").select("audio_path")
+    out = have.join(wide, "audio_path").select("group_id", F.lit("exact_audio_duplicate").alias("kind"), F.col("audio_path").alias("component")).distinct()
+    for kind in COMPONENT_KINDS[1:] if pairs is not None else ():
+        edges = pairs.where(F.col("kind") == kind).select(F.col("left_group_id").alias("left"), F.col("right_group_id").alias("right"))
+        found = connected_components(edges.where("left <> right").distinct())
+        out = out.unionByName(found.select(F.col("member").alias("group_id"), F.lit(kind).alias("kind"), F.col("component").cast("string").alias("component")))
+    return out
+
+
+def soft_conflicts(members: DataFrame, policy: Policy = Policy(), pairs: DataFrame | None = None) -> DataFrame:
+    """Warnings of exact text, exact audio (buckets that may be linked) and ambiguous audio (those that may not), of members(group_id, split, text_key, audio_path, ...), and of their ``near_pairs`` (looked for if they are not given)."""
+    pairs = near_pairs(members, policy) if pairs is None else pairs
     ok = audio_buckets(members, policy).select("audio_path", F.col("refusal").isNull().alias("_ok"))
     tagged = members.join(ok, "audio_path", "left")
     exact = tagged.withColumn("_a", F.when(F.col("_ok"), F.col("audio_path")))
     loose = tagged.withColumn("_a", F.when(~F.col("_ok"), F.col("audio_path")))
-    return directional_conflicts(members, "text_key", "text_duplicate").unionByName(
+    out = directional_conflicts(members, "text_key", "text_duplicate").unionByName(
         directional_conflicts(exact, "_a", "exact_audio_duplicate")).unionByName(directional_conflicts(loose, "_a", "ambiguous_audio_reuse"))
+    return out if pairs is None else out.unionByName(pairwise_conflicts(pairs))
 
 
 def size_penalty(n: Mapping[str, float], goal: Mapping[str, float]) -> float:
@@ -255,14 +340,17 @@ def size_penalty(n: Mapping[str, float], goal: Mapping[str, float]) -> float:
     return sum(abs(n[s] - goal[s]) / max(goal[s], 1.0) for s in SPLITS)
 
 
-RISKY = ("exact_audio_duplicate", "ambiguous_audio_reuse", "image_similarity", "face_similarity")
+RISKY = ("exact_audio_duplicate", "ambiguous_audio_reuse", "image_similarity", "face_similarity", "cross_dataset_similarity")
+#: Kinds whose components are repaired as a whole, in this order.
+COMPONENT_KINDS = ("exact_audio_duplicate", "cross_dataset_similarity", "image_similarity")
 
 
-def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy(), components: DataFrame | None = None) -> DataFrame:
     """(group_id, from_split, action, to_split): what is done with groups that soft conflicts touch; groups that stay are not listed.
 
     Groups(group_id, size, split). A small group with ambiguous audio of enough warnings is moved to train (if preferred) or
-    dropped. Else a small group goes to the split that most of its warnings name, if that clearly wins and the sizes stay
+    dropped. Then the components(group_id, kind, component) that still span two splits, largest first within a kind, are cut back
+    to the split that costs the fewest rows. Else a small group goes to the split that most of its warnings name, if that clearly wins and the sizes stay
     within the allowed deviation, and nothing was moved the other way in this round; one with many warnings of a risky kind is dropped. Folds over the groups with warnings, most
     warnings first, in one task; a group comes with a handful of numbers.
     """
@@ -277,15 +365,44 @@ def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy
     goal = targets(sum(start.values()), policy, False)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        n, out, went = dict(start), [], set()
-        for r in f.sort_values(["n", "size", "group_id"], ascending=[False, True, True]).rename(columns={"size": "size_"}).itertuples():
+        n, out, went, done = dict(start), [], set(), set()
+        rows = {r.group_id: r for r in f.rename(columns={"size": "size_"}).itertuples()}
+        for r in sorted(rows.values(), key=lambda r: (-r.n, r.size_, r.group_id)):
+            if r.ambiguous >= policy.ambiguous_from and r.size_ <= policy.drop_up_to:
+                there = {x: n[x] - (r.size_ if x == r.split else 0) + (r.size_ if x == "train" else 0) for x in SPLITS}
+                to = "train" if policy.prefer_train and r.split != "train" and size_penalty(there, goal) <= size_penalty(n, goal) + policy.deviation else None
+                n[r.split] -= r.size_
+                if to:
+                    n[to] += r.size_
+                went.add((r.split, to))
+                done.add(r.group_id)
+                out.append((r.group_id, r.split, "reassign" if to else "drop", to))
+        held: dict[tuple[str, str], list] = {}
+        for r in rows.values():
+            for c in r.components if r.components is not None else ():
+                held.setdefault((c["kind"], c["component"]), []).append(r)
+        free = lambda of: [r for r in of if r.group_id not in done]
+        for kind in COMPONENT_KINDS:
+            own = [sorted(of, key=lambda r: r.group_id) for (k, _), of in held.items() if k == kind]
+            for of in sorted(own, key=lambda of: (-sum(r.size_ for r in free(of)), -len(of), [r.group_id for r in of])):
+                best = None
+                for target in sorted({r.split for r in free(of)}):
+                    lost = [r for r in free(of) if r.split != target]
+                    after = {x: n[x] - sum(r.size_ for r in lost if r.split == x) for x in SPLITS}
+                    if lost and all(r.size_ <= policy.drop_up_to for r in lost) and size_penalty(after, goal) <= size_penalty(n, goal) + policy.deviation:
+                        rank = (SPLITS if policy.prefer_train else ("test", "train", "val")).index(target)
+                        plan = ((sum(r.size_ for r in lost), size_penalty(after, goal), len(lost), rank), lost, after)
+                        best = plan if best is None or plan[0] < best[0] else best
+                if best:
+                    n.update(best[2])
+                    done.update(r.group_id for r in best[1])
+                    out += [(r.group_id, r.split, "drop", None) for r in best[1]]
+        for r in f[~f["group_id"].isin(done)].sort_values(["n", "size", "group_id"], ascending=[False, True, True]).rename(columns={"size": "size_"}).itertuples():
             moved = lambda s: {x: n[x] - (r.size_ if x == r.split else 0) + (r.size_ if x == s else 0) for x in SPLITS}  # noqa: B023, E731
             fits = lambda s: size_penalty(moved(s), goal) <= size_penalty(n, goal) + policy.deviation  # noqa: B023, E731
             action, to = None, None
             votes = sorted(((getattr(r, f"to_{s}"), -SPLITS.index(s), s) for s in SPLITS), reverse=True)
-            if r.ambiguous >= policy.ambiguous_from and r.size_ <= policy.drop_up_to:
-                action, to = ("reassign", "train") if policy.prefer_train and r.split != "train" and fits("train") else ("drop", None)
-            elif (r.size_ <= policy.reassign_up_to and votes[0][2] != r.split and (votes[0][2], r.split) not in went
+            if (r.size_ <= policy.reassign_up_to and votes[0][2] != r.split and (votes[0][2], r.split) not in went
                   and votes[0][0] > (1 + policy.winner_ratio) * votes[1][0] and fits(votes[0][2])):
                 action, to = "reassign", votes[0][2]
             elif r.n >= policy.drop_from_warnings and r.risky >= policy.drop_from_kinds and r.size_ <= policy.drop_up_to and fits(None):
@@ -296,7 +413,12 @@ def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy
                 out.append((r.group_id, r.split, action, to))
         return pd.DataFrame(out, columns=["group_id", "from_split", "action", "to_split"])
 
-    one = groups.join(per, "group_id").withColumn("_one", F.lit(1))
+    if components is None:
+        one = groups.join(per, "group_id").withColumn("components", F.expr("CAST(NULL AS array<struct<kind: string, component: string>>)"))
+    else:
+        held = components.groupBy("group_id").agg(F.collect_set(F.struct("kind", "component")).alias("components"))
+        one = groups.join(per, "group_id").join(held, "group_id", "left")
+    one = one.withColumn("_one", F.lit(1))
     return one.groupBy("_one").applyInPandas(lambda f: run(f.drop(columns="_one")), f"group_id {kind}, from_split string, action string, to_split string")
 
 
@@ -307,7 +429,9 @@ def repair(members: DataFrame, policy: Policy = Policy(), ws=None) -> DataFrame:
     ws = ws or Workspace(members.sparkSession, "repair")
     for _ in range(policy.rounds):
         groups = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.first("split").alias("split"))
-        plan = ws.write(repair_plan(groups, soft_conflicts(members, policy), policy), "plan")
+        pairs = near_pairs(members, policy)
+        pairs = pairs if pairs is None else ws.write(pairs, "pairs")
+        plan = ws.write(repair_plan(groups, soft_conflicts(members, policy, pairs), policy, repair_components(members, policy, pairs)), "plan")
         if not plan.head(1):
             break
         step = members.join(plan.select("group_id", "action", "to_split"), "group_id", "left").where("action IS NULL OR action <> 'drop'")
@@ -316,7 +440,10 @@ def repair(members: DataFrame, policy: Policy = Policy(), ws=None) -> DataFrame:
 
 
 def validation(samples: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(check, n, status): what still stands across splits, and whether all three splits are there."""
+    """(check, n, status): what still stands across splits, and whether all three splits are there.
+
+    Samples with image_hash or image_vector also get the numbers of near-same images and of those from two sources.
+    """
     from tesserae.operators.leakage import leaking_keys
 
     keyed = samples.where(F.col("split").isNotNull())
@@ -331,6 +458,16 @@ def validation(samples: DataFrame, policy: Policy = Policy()) -> DataFrame:
         audio.agg(F.count_if(F.col("refusal").isNotNull()).alias("n")).select(F.lit("audio_overlap_ambiguous").alias("check"), "n"),
         keyed.agg((F.lit(3) - F.countDistinct("split")).alias("n")).select(F.lit("missing_splits").alias("check"), "n"),
     ]
+    if "image_hash" in keyed.columns:
+        parts.append(hash_pairs(keyed, "image_hash", policy.hash_bits).agg(F.count(F.lit(1)).alias("n")).select(F.lit("near_duplicate_overlap").alias("check"), "n"))
+    cross = []
+    if "image_hash" in keyed.columns:
+        cross.append(hash_pairs(keyed.where(F.col("image_vector").isNull()) if "image_vector" in keyed.columns else keyed, "image_hash", policy.hash_bits, True))
+    if "image_vector" in keyed.columns:
+        cross.append(vector_pairs(keyed, "image_vector", policy.image_similarity, True))
+    if cross:
+        cross = [c.select("left_id", "right_id") for c in cross]
+        parts.append((cross[0].unionByName(cross[1]) if cross[1:] else cross[0]).agg(F.count(F.lit(1)).alias("n")).select(F.lit("cross_dataset_overlap").alias("check"), "n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

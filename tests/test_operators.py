@@ -89,6 +89,27 @@ def test_soft_conflicts_and_repair(spark, records):
     assert leakage.leaking_keys(fixed, "text_key").count() == 0
 
 
+def test_near_images_faces_and_audio_are_warned_of_repaired_and_validated(spark):
+    v = [0.5, -0.2, 0.1, 0.4, 0.3, -0.6, 0.2, 0.1]
+    near = [0.5, -0.2, 0.1, 0.4, 0.3, -0.6, 0.2, 0.11]
+    far = [-x for x in v]
+    m = spark.createDataFrame([
+        (1, "g1", "train", "a", "ffffffffffffff00", None, v, v), (2, "g2", "val", "b", "ffffffffffffff01", None, near, near), (3, "g3", "test", "b", "0000000000000000", None, far, far),
+        (4, "g4", "train", "a", "1234560000000000", v, None, None), (5, "g5", "test", "a", "1234560000000001", near, None, None)],
+        "record_id long, group_id string, split string, dataset_source string, image_hash string, image_vector array<double>, face_vector array<double>, audio_vector array<double>").selectExpr(
+        "*", "CAST(NULL AS string) AS text_key", "CAST(NULL AS string) AS audio_path", "CAST(NULL AS string) AS identity_id", "CAST(NULL AS string) AS speaker_id", "CAST(NULL AS string) AS image_path", "CAST(NULL AS string) AS text")
+    got = rows(splits.soft_conflicts(m).where("group_id IN ('g1', 'g4')").select("kind", "group_id", "other_split", "n"))
+    assert got == [("audio_similarity", "g1", "val", 1), ("cross_dataset_similarity", "g1", "val", 1), ("face_similarity", "g1", "val", 1), ("face_similarity", "g4", "test", 1),
+                   ("image_similarity", "g1", "val", 1), ("image_similarity", "g4", "test", 1), ("proxy_identity_cluster", "g1", "val", 1), ("proxy_speaker_cluster", "g1", "val", 1)]
+    comps = splits.repair_components(m, pairs=splits.near_pairs(m))
+    assert rows(comps) == [("g1", "cross_dataset_similarity", "g1"), ("g1", "image_similarity", "g1"), ("g2", "cross_dataset_similarity", "g1"),
+                           ("g2", "image_similarity", "g1"), ("g4", "image_similarity", "g4"), ("g5", "image_similarity", "g4")]
+    found = {x.check: x.n for x in splits.validation(m).collect()}
+    assert found["near_duplicate_overlap"] == 2 and found["cross_dataset_overlap"] == 1
+    fixed = splits.repair(m, splits.Policy(deviation=5.0))
+    assert splits.soft_conflicts(fixed).count() == 0 and fixed.where("group_id = 'g3'").count() == 1
+
+
 def test_leakage_checks(spark, records):
     base = dict(image_path="i.jpg", audio_path="a.wav", text="same words", identity_id="id", speaker_id="sp", unified_emotion="happy")
     r = records(dict(base, record_id=1, sample_id="x", split="train", source_dataset="a"), dict(base, record_id=2, sample_id="y", split="test", source_dataset="b"),

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import vectors as V
 from tesserae.functions.labels import SPLITS
 from tesserae.functions.hashing import text_digest
+from tesserae.operators import blocking
 
 PRIORITY = {"train": 0, "val": 1, "test": 2}
 
@@ -69,6 +71,47 @@ def cross_dataset(rows: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).where("source_a < source_b").groupBy("source_a", "source_b").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def near_matches(samples: DataFrame, id_col: str = "record_id", hash_bits: int = 4, image: float = 0.98, audio: float = 0.985, text: float = 0.96, ratio: float = 0.97) -> DataFrame:
+    """(kind, left_id, right_id): pairs of rows in two splits with near-same images, near-same audio or texts that almost agree.
+
+    Images of one hash prefix match by ``image_hash`` or ``image_vector``, audio of one sign signature by ``audio_vector``,
+    for samples that have these columns. Texts (``content_keys``) match within ``blocking.text_block``; those whose exact text leaks are left out.
+    """
+    take = lambda pairs, kind: pairs.select(F.lit(kind).alias("kind"), "left_id", "right_id")
+    exact = leaking_keys(samples, "text_key").select("text_key")
+    texts = samples.where(F.col("text_key").isNotNull()).join(exact, "text_key", "left_anti")
+    texts = texts.withColumns(dict(zip(("_1", "_2", "_3", "_4"), blocking.text_block("text", "unified_emotion")))).withColumn("_2", F.coalesce("_2", F.lit(""))).withColumn("_v", V.token_vector("text"))
+    pairs = blocking.blocked_pairs(texts, ["_1", "_2", "_3", "_4"], id_col, ["text", "_v"], lambda a, b: F.lit(True), different=["split"]).withColumn("cosine", V.cosine_same_size("left__v", "right__v"))
+    out = take(blocking.with_ratio(pairs, "left_text", "right_text").where((F.col("cosine") >= text) | (F.col("ratio") >= ratio)), "text_near")
+    if "image_hash" in samples.columns:
+        have = samples.where(F.col("image_hash").isNotNull()).withColumn("_p", F.substring("image_hash", 1, 6))
+        vector = ["image_vector"] if "image_vector" in samples.columns else []
+        close = lambda a, b: F.coalesce(V.hamming(a("image_hash"), b("image_hash")) <= hash_bits, F.lit(False)) | (
+            F.coalesce(V.cosine_unit(a("image_vector"), b("image_vector")) >= image, F.lit(False)) if vector else F.lit(False))
+        out = out.unionByName(take(blocking.blocked_pairs(have, ["_p"], id_col, ["image_hash", *vector], close, different=["split"]), "image_near"))
+    if "audio_vector" in samples.columns:
+        have = samples.where(F.col("audio_vector").isNotNull()).withColumn("_p", V.sign_code("audio_vector"))
+        out = out.unionByName(take(blocking.blocked_pairs(have, ["_p"], id_col, ["audio_vector"], lambda a, b: V.cosine_unit(a("audio_vector"), b("audio_vector")) >= audio, different=["split"]), "audio_near"))
+    return out
+
+
+def match_summary(samples: DataFrame, matches: DataFrame) -> DataFrame:
+    """(check, n_keys, n_rows, percent) of near matches per kind: pairs, rows in them, and their share of all rows."""
+    total = samples.count()
+    one = matches.select("kind", F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_rows"))
+    return one.select(F.col("kind").alias("check"), (F.col("n") / 2).cast("long").alias("n_keys"), "n_rows", F.round(100.0 * F.col("n_rows") / F.lit(max(total, 1)), 4).alias("percent"))
+
+
+def cross_dataset_matches(samples: DataFrame, matches: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """(source_a, source_b, n_pairs): distinct pairs of rows of two sources that match nearly, or whose exact text leaks across splits."""
+    side = lambda s: samples.select(F.col(id_col).alias(f"{s}_id"), F.col("dataset_source").alias(f"{s}_source"))
+    leaks = leaking_keys(samples, "text_key").select("text_key")
+    same = blocking.blocked_pairs(samples.join(leaks, "text_key", "left_semi"), ["text_key"], id_col, [], lambda a, b: F.lit(True), different=["dataset_source"])
+    pairs = matches.select("left_id", "right_id").unionByName(same.select("left_id", "right_id")).distinct()
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").where("left_source <> right_source")
+    return both.groupBy(F.least("left_source", "right_source").alias("source_a"), F.greatest("left_source", "right_source").alias("source_b")).agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def severity(percent, count, major=(1.0, 10), minor=(0.1, 1)) -> Column:
     """FAIL, WARNING or PASS by the share in percent or the number."""
     return F.when((percent >= major[0]) | (count >= major[1]), "FAIL").when((percent >= minor[0]) | (count >= minor[1]), "WARNING").otherwise("PASS")

@@ -79,6 +79,19 @@ def q_cross_dataset(spark, sf_dir):
     return leakage.cross_dataset(leakage.content_keys(samples(spark, sf_dir)), "text_key")
 
 
+@query("q_near_summary")
+def q_near_summary(spark, sf_dir):
+    """Near matches across splits. Records have no hashes or vectors of media, so over this table they are matches of texts."""
+    s = leakage.content_keys(samples(spark, sf_dir))
+    return leakage.match_summary(s, leakage.near_matches(s)).withColumn("status", leakage.severity(F.col("percent"), F.col("n_keys")))
+
+
+@query("q_cross_dataset_matches")
+def q_cross_dataset_matches(spark, sf_dir):
+    s = leakage.content_keys(samples(spark, sf_dir))
+    return leakage.cross_dataset_matches(s, leakage.near_matches(s))
+
+
 _PRIO = "CASE {0} WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END"
 _MOVES = S.SAMPLES + "".join(f""", n_{k} AS (SELECT {k}, split, count(*) AS n FROM samples WHERE {k} IS NOT NULL AND split IS NOT NULL GROUP BY ALL),
  t_{k} AS (SELECT {k}, arg_max(split, n * 10 - {_PRIO.format('split')}) AS target FROM n_{k} GROUP BY {k} HAVING count(*) > 1),

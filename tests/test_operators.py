@@ -122,6 +122,19 @@ def test_leakage_checks(spark, records):
     assert leakage.affected(s.limit(0), {"identity": "identity_id"}).first().percent == 0.0
 
 
+def test_near_contents_of_two_sources_are_overlap(spark, records):
+    r = records(*[dict(record_id=i, sample_id=f"s{i}", split=sp, source_dataset=d, unified_emotion="happy", text=t) for i, sp, d, t in (
+        (1, "train", "a", "the small boat came home before the storm"), (2, "test", "b", "the small boat came home before the storms"),
+        (3, "train", "a", "something else"), (4, "val", "c", "something else"), (5, "train", "a", "alone"), (6, "val", "c", None))])
+    v = [0.5, -0.2, 0.1, 0.4, 0.3, -0.6, 0.2, 0.1]
+    media = spark.createDataFrame([(5, "ffffffffffffff00", v), (6, "ffffffffffffff0f", [2 * x for x in v]), (3, None, [-x for x in v])], "record_id long, image_hash string, audio_vector array<double>")
+    s = leakage.content_keys(normalize.samples(r)).join(media, "record_id", "left")
+    m = leakage.near_matches(s)
+    assert rows(m) == [("audio_near", 5, 6), ("image_near", 5, 6), ("text_near", 1, 2)]
+    assert rows(leakage.cross_dataset_matches(s, m)) == [("a", "b", 1), ("a", "c", 2)]
+    assert rows(leakage.match_summary(s, m).select("check", "n_keys", "n_rows")) == [("audio_near", 1, 2), ("image_near", 1, 2), ("text_near", 1, 2)]
+
+
 def test_remediation_moves_to_the_majority_and_train_wins_ties(spark, records):
     r = records(dict(record_id=1, sample_id="a", split="train", identity_id="id1", speaker_id="sp1"), dict(record_id=2, sample_id="b", split="test", identity_id="id1", speaker_id="sp1"),
                 dict(record_id=3, sample_id="c", split="val", identity_id="id2"))

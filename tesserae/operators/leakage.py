@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as V
 from tesserae.functions.labels import SPLITS
+from tesserae.functions.text import token_line
 from tesserae.functions.hashing import text_digest
 from tesserae.operators import blocking
 
@@ -80,8 +81,10 @@ def near_matches(samples: DataFrame, id_col: str = "record_id", hash_bits: int =
     take = lambda pairs, kind: pairs.select(F.lit(kind).alias("kind"), "left_id", "right_id")
     exact = leaking_keys(samples, "text_key").select("text_key")
     texts = samples.where(F.col("text_key").isNotNull()).join(exact, "text_key", "left_anti")
-    texts = texts.withColumns(dict(zip(("_1", "_2", "_3", "_4"), blocking.text_block("text", "unified_emotion")))).withColumn("_2", F.coalesce("_2", F.lit(""))).withColumn("_v", V.token_vector("text"))
-    pairs = blocking.blocked_pairs(texts, ["_1", "_2", "_3", "_4"], id_col, ["text", "_v"], lambda a, b: F.lit(True), different=["split"]).withColumn("cosine", V.cosine_same_size("left__v", "right__v"))
+    texts = texts.withColumns(dict(zip(("_1", "_2", "_3", "_4"), blocking.text_block("text", "unified_emotion")))).withColumn("_2", F.coalesce("_2", F.lit(""))).withColumn("_v", V.token_vector("text")).withColumn("_n", F.length(token_line("text")))
+    pairs = blocking.blocked_pairs(texts, ["_1", "_2", "_3", "_4"], id_col, ["text", "_v", "_n"], lambda a, b: F.lit(True), different=["split"]).withColumn("cosine", V.cosine_same_size("left__v", "right__v"))
+    # no ratio is above that of two texts of which one holds the other
+    pairs = pairs.where((F.col("cosine") >= text) | (2 * F.least("left__n", "right__n") >= ratio * (F.col("left__n") + F.col("right__n"))))
     out = take(blocking.with_ratio(pairs, "left_text", "right_text").where((F.col("cosine") >= text) | (F.col("ratio") >= ratio)), "text_near")
     if "image_hash" in samples.columns:
         have = samples.where(F.col("image_hash").isNotNull()).withColumn("_p", F.substring("image_hash", 1, 6))

@@ -1,17 +1,18 @@
 """Typed values mapped to the entries of a canonical list.
 
-Values are normalised and deduplicated, so a value that a third of all rows carry is matched once. Candidates come from an
-inverted index of weighted character n-grams (of the words, and of the words without vowels) joined to the n-grams of the
-values and scored by cosine; the best few per value go on. A check of the whole value follows: every word of the entry must
-be found in the value (misspelt, cut short, without vowels, with an ending, in any order or run together), and what the
-value has beyond them may only be words of hedging and numbers. The best candidate is accepted above a threshold and a
-margin over the best other entry.
+Values are normalised and deduplicated, so a value that a third of all rows carry is matched once. A value is looked at through
+its windows: all runs of consecutive words no longer than the longest form of the list, so that what dresses an entry up, however
+long it is, does not hide it. Windows meet the forms of the entries in an inverted index of weighted character n-grams (of the
+words, and of the words without vowels) and are scored by cosine; a label's score is its best form's and best window's. What
+reaches the threshold is checked exactly: every word of the form must be found in the value (misspelt, cut short, lengthened,
+without vowels, in any order or run together), so that sharing a word is not enough. The best label that passes is accepted if no
+other that passes comes within the margin. Nothing is cut by rank, number of words or length.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,17 +23,16 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import squeeze
 from tesserae.workspace import Workspace
 
-LEAST_COSINE, TOP = 0.12, 6
-ACCEPT, MARGIN = 0.67, 0.04
-#: Words that dress up a value and carry no entry of their own.
-HEDGES = (
-    "a", "an", "the", "very", "quite", "rather", "really", "slightly", "somewhat", "bit", "of", "kind", "sort", "little",
-    "probably", "maybe", "perhaps", "likely", "possibly", "mostly", "mild", "strong", "mildly", "strongly", "too", "so",
-    "some", "clear", "clearly", "and", "or", "with", "more", "less", "like", "looks", "seems", "almost", "again", "still",
-)
-ENDINGS = ("ness", "ish", "ing", "est", "er", "ly", "ed", "es", "s", "y")
+#: The least cosine of a match, and by how much it must be above that of any other label.
+THRESHOLD, MARGIN = 0.24, 0.03
+#: A form is indexed by its heaviest n-grams, those that make up this part of its squared weight: the n-grams that most forms share
+#: (the longest lists of the index) are left out of the vector it is compared by.
+INDEXED = 0.97
+#: How well a word of the form must be found in the value, and all of them on average (by length); how well in a value run together.
+LEAST_WORD, LEAST_MEAN, LEAST_INSIDE = 0.5, 0.74, 0.7
 VOWELS = "aeiou"
-_LEET = str.maketrans("01345789", "oleastbg")
+#: Digits typed for letters, and the letters.
+DIGITS, LETTERS = "01345789", "oleastbg"
 
 
 def normal_form(c) -> Column:
@@ -41,9 +41,9 @@ def normal_form(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def _plain(word: str) -> str:
-    """Digits that stand for letters read as letters, where the word has letters too."""
-    return word.translate(_LEET) if re.search(r"[^\W\d_]", word) and re.search(r"\d", word) else word
+def plain_words(c: Column) -> Column:
+    """The words of a normal form; digits that stand for letters read as letters, where the word has letters too."""
+    return F.transform(F.split(c, " "), lambda w: F.when(w.rlike(r"\p{L}") & w.rlike(r"\d"), F.translate(w, DIGITS, LETTERS)).otherwise(w))
 
 
 def _bare(word: str) -> str:
@@ -71,7 +71,11 @@ def _steps(a: str, b: str) -> int:
 
 
 def _near(a: str, b: str) -> float:
-    return 1 - _steps(a, b) / max(len(a), len(b), 1)
+    """1 less the steps from a to b in the measure of the longer; 0 where the lengths alone put it below LEAST_WORD."""
+    longer = max(len(a), len(b), 1)
+    if min(len(a), len(b)) < LEAST_WORD * longer:
+        return 0.0
+    return 1 - _steps(a, b) / longer
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -80,56 +84,67 @@ def word_match(word: str, entry: str) -> float:
     if word == entry:
         return 1.0
     best = max(_near(word, entry), _near(_once(word), _once(entry)) - 0.02)
-    if len(word) >= 3 and len(word) < len(entry) and entry.startswith(word):
-        best = max(best, 0.9)
+    if len(word) < len(entry):  # cut short
+        if len(word) >= 3 and entry.startswith(word):
+            best = max(best, 0.9)
+        elif len(_once(word)) >= 3 and _once(entry).startswith(_once(word)):
+            best = max(best, 0.88)
+        elif len(word) >= 4:
+            best = max(best, 0.85 * _near(word, entry[: len(word)]))
+    elif len(word) > len(entry) >= 3:  # with an ending
+        best = max(best, 0.95 * max(_near(word[:k], entry) for k in range(len(entry) - 1, len(entry) + 2)))
     bare = _bare(entry)
     if len(bare) >= 2 and _bare(word) == word:
         best = max(best, 0.95 * _near(word, bare))
-    if best < 0.9:
-        for end in ENDINGS:
-            if word.endswith(end) and len(word) - len(end) >= 3:
-                best = max(best, 0.95 * max(_near(word[: -len(end)], entry), _near(_once(word[: -len(end)]), _once(entry))))
-        if 3 <= len(word) < len(entry):
-            best = max(best, 0.9 * _near(word, entry[: len(word)]) if len(word) >= 4 else 0)
     return best
 
 
-@functools.lru_cache(maxsize=100_000)
-def _is_hedge(word: str) -> bool:
-    return word in HEDGES or word.isdigit() or (len(word) >= 4 and any(abs(len(word) - len(h)) <= 1 and _steps(word, h) <= 1 for h in HEDGES if len(h) >= 4))
-
-
-def value_match(value: str, entry: str) -> float:
-    """How well a whole value stands for a whole entry, from 0 to 1; both in normal form."""
-    if value == entry:
-        return 1.0
-    have, want = [_plain(w) for w in value.split()][:12], entry.split()
-    if not have:
-        return 0.0
-    best = 0.0
-    # a word that stands for one of the entry's own words dresses nothing up ("quiet" is near "quite")
-    table = [[word_match(h, w) for h in have] for w in want]
-    loose = [_is_hedge(h) and max(row[i] for row in table) < 0.8 for i, h in enumerate(have)]
-    core = [h for h, x in zip(have, loose) if not x] or have
-    if len(core) < 6:
-        shorts = {"".join(core), "".join(have)}
-        for order in itertools.permutations(want) if len(want) <= 3 else [tuple(want)]:
-            whole = "".join(order)
-            for s in shorts:
-                if abs(len(s) - len(whole)) <= 3 and len(s) >= 4:
-                    fit = 0.98 * _near(s, whole)
-                    # words run together or torn apart; as many words as asked must rather match one by one
-                    best = max(best, fit if len(core) < len(want) or fit >= 0.85 else 0.0)
+def inside(word: str, text: str) -> float:
+    """How well a word is found somewhere in a text without spaces: 1 less the fewest steps in the measure of the word."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(word, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return 1 - min(row) / len(word)
+
+
+def stands_whole(value: str, form: str) -> bool:
+    """Whether all words of a form are found in a value: each in a word of its own, or all of them in the value run together."""
+    have, want = value.split(), form.split()
+    if have == want:
+        return True
+    if not have or not want:
+        return False
     if len(have) >= len(want):
-        for pick in itertools.permutations(range(len(have)), len(want)) if len(have) <= 6 else []:
-            got = [table[i][p] for i, p in enumerate(pick)]
-            if min(got) < 0.5:
-                continue
-            size = sum(len(w) for w in want)
-            fit = sum(g * len(w) for g, w in zip(got, want)) / size
-            extra = sum(len(have[p]) for p in range(len(have)) if p not in pick and not loose[p])
-            best = max(best, fit * size / (size + extra))
-    return best
+        fit = [[word_match(h, w) for h in have] for w in want]
+        owner: dict[int, int] = {}
+
+        def place(i: int, seen: set[int]) -> bool:
+            """A word of the value for word i of the form, best first; others may have to move."""
+            for j in sorted(range(len(have)), key=lambda j: -fit[i][j]):
+                if fit[i][j] >= LEAST_WORD and j not in seen:
+                    seen.add(j)
+                    if j not in owner or place(owner[j], seen):
+                        owner[j] = i
+                        return True
+            return False
+
+        if all(place(i, set()) for i in range(len(want))):
+            mean = sum(fit[i][j] * len(want[i]) for j, i in owner.items()) / sum(map(len, want))
+            if mean >= LEAST_MEAN:
+                return True
+    joined = "".join(have)
+    return abs(len(joined) - sum(map(len, want))) <= 3 and all(len(w) > 1 and inside(w, joined) >= LEAST_INSIDE for w in want)
+
+
+def windows_of(words: Column, most: int) -> Column:
+    """All runs of up to ``most`` consecutive words, joined by spaces."""
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
+    return F.array_distinct(F.flatten(runs))
 
 
 def _grams(c: Column) -> Column:
@@ -144,53 +159,56 @@ def _grams(c: Column) -> Column:
     return F.flatten(F.concat(F.transform(views, lambda w: cut(w, 2)), F.transform(views, lambda w: cut(w, 3))))
 
 
-def _unleet(c: Column) -> Column:
-    return F.translate(c, "01345789", "oleastbg")
-
-
 def catalog_forms(catalog: DataFrame) -> DataFrame:
     """(label_id, form): canonical labels and aliases in normal form. Null or wordless ones are no forms."""
     every = catalog.select("label_id", F.explode(F.concat(F.array("canonical_label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
     return every.select("label_id", normal_form("form").alias("form")).where("form <> ''").distinct()
 
 
+def _index(forms: DataFrame, n_forms: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(idf(g, idf), index(g, form, we)): the weight of every n-gram of the forms, and the forms' unit vectors without their lightest n-grams."""
+    posted = forms.select("form", F.explode(_grams(F.col("form"))).alias("g")).groupBy("form", "g").agg(F.count(F.lit(1)).alias("tf"))
+    idf = ws.write(posted.groupBy("g").agg(F.log(1 + F.lit(float(n_forms)) / F.count(F.lit(1))).alias("idf")), "idf")
+    falling = Window.partitionBy("form").orderBy(F.desc("w"), "g")
+    weighed = posted.join(idf, "g").select("form", "g", (F.col("tf") * F.col("idf")).alias("w"))
+    weighed = weighed.withColumn("above", F.sum(F.col("w") * F.col("w")).over(falling) - F.col("w") * F.col("w"))
+    weighed = weighed.withColumn("all", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("form"))).where(F.col("above") < INDEXED * F.col("all"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("form")))
+    return idf, ws.write(weighed.select("g", "form", (F.col("w") / size).alias("we")), "index")
+
+
 def match_values(values: DataFrame, forms: DataFrame) -> DataFrame:
     """(value, label_id, score) for distinct normal forms ``values``(value): the accepted entry, or label_id 0.
 
-    ``forms``(label_id, form). A value that equals a form takes it. If two entries share a form the smaller label_id stands.
+    ``forms``(label_id, form). A value that equals a form takes it. If two entries share a form the smaller label_id stands. Null
+    and empty values have no row; without forms every value is 0.
     """
     ws = Workspace(values.sparkSession, "canonical")
-    values = ws.write(values.select("value").where("value <> ''").distinct(), "values")
+    values = ws.write(values.select("value").where("value <> ''").distinct().withColumn("words", plain_words(F.col("value"))), "values")
     forms = ws.write(forms.groupBy("form").agg(F.min("label_id").alias("label_id")), "forms")
-    posted = forms.select("form", F.explode(_grams(F.col("form"))).alias("g")).groupBy("g", "form").agg(F.count(F.lit(1)).alias("tf"))
-    n_forms = forms.count()
-    df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    weighed = posted.join(df, "g").select("g", "form", (F.col("tf") * F.log(1 + F.lit(float(n_forms)) / F.col("df"))).alias("w"))
-    norm = weighed.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = ws.write(weighed.join(norm, "form").select("g", "form", (F.col("w") / F.col("norm")).alias("we")), "index")
-    idf = ws.write(df.select("g", F.log(1 + F.lit(float(n_forms)) / F.col("df")).alias("idf")), "idf")
-    asked = values.select("value", F.explode(_grams(_unleet(F.col("value")))).alias("g")).groupBy("value", "g").agg(F.count(F.lit(1)).alias("tf"))
-    asked = asked.join(idf, "g").select("value", "g", (F.col("tf") * F.col("idf")).alias("w"))
-    size = asked.groupBy("value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    cosine = (
-        asked.join(index, "g").groupBy("value", "form").agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
-        .join(size, "value").select("value", "form", (F.col("dot") / F.col("norm")).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    )
-    best = Window.partitionBy("value").orderBy(F.desc("cosine"), "form")
-    top = cosine.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TOP).join(forms, "form")
+    n_forms, most = forms.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("form", " "))), F.lit(1))).first()
+    idf, index = _index(forms, n_forms, ws)
+    seen = ws.write(values.select("value", F.array_join("words", " ").alias("line"), F.explode(windows_of(F.col("words"), most)).alias("window")), "windows")
+    # an n-gram that no form has weighs as much as one that a single form has
+    asked = seen.select("window").distinct().select("window", F.explode(_grams(F.col("window"))).alias("g")).groupBy("window", "g").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked.join(idf, "g", "left").select("window", "g", (F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + n_forms)))).alias("w"))
+    size = asked.groupBy("window").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = asked.join(index, "g").groupBy("window", "form").agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
+    scored = dots.join(size, "window").select("window", "form", (F.col("dot") / F.col("norm")).alias("cosine")).where(F.col("cosine") >= THRESHOLD)
+    # the check reads the whole value, the cosine the window that fits best
+    top = seen.join(ws.write(scored, "scored"), "window").groupBy("value", "line", "form").agg(F.max("cosine").alias("cosine")).join(forms, "form")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["score"] = [value_match(v, e) for v, e in zip(f["value"], f["form"])]
-            yield f[["value", "label_id", "score", "cosine"]]
+            ok = [stands_whole(v, e) for v, e in zip(f["line"], f["form"])]
+            yield f.loc[ok, ["value", "form", "label_id", "cosine"]]
 
-    spread = top.select("value", "form", "label_id", "cosine").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
-    scored = spread.mapInPandas(check, "value string, label_id long, score double, cosine double")
-    per_label = scored.groupBy("value", "label_id").agg(F.max("score").alias("score"), F.max("cosine").alias("cosine"))
-    rank = Window.partitionBy("value").orderBy(F.desc("score"), F.desc("cosine"), "label_id")
+    spread = top.select("value", "line", "form", "label_id", "cosine").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value", "form")
+    passed = spread.mapInPandas(check, "value string, form string, label_id long, cosine double")
+    per_label = passed.groupBy("value", "label_id").agg(F.max("cosine").alias("score"), F.max(F.col("value") == F.col("form")).alias("same"))
+    rank = Window.partitionBy("value").orderBy(F.desc("same"), F.desc("score"), "label_id")
     ranked = per_label.withColumn("second", F.lead("score").over(rank)).withColumn("n", F.row_number().over(rank)).where("n = 1")
-    sure = (F.col("score") >= ACCEPT) & ((F.col("score") - F.coalesce("second", F.lit(0.0)) >= MARGIN) | (F.col("score") == 1))
-    found = ranked.where(sure).select("value", "label_id", "score")
+    found = ranked.where(F.col("same") | (F.col("score") - F.coalesce("second", F.lit(0.0)) >= MARGIN)).select("value", "label_id", "score")
     return values.join(found, "value", "left").select("value", F.coalesce("label_id", F.lit(0)).cast("long").alias("label_id"), "score")
 
 

@@ -150,6 +150,26 @@ def test_label_mapping(spark, records):
     assert [(v, got[i]) for i, (v, _) in enumerate(VALUES)] == VALUES and 99 not in got
 
 
+def mapped(spark, catalog, values):
+    cat = spark.createDataFrame(catalog, "label_id long, form string")
+    return {r.value: r.label_id for r in canonical.match_values(spark.createDataFrame([(v,) for v in values], "value string"), cat).collect()}
+
+
+def test_long_dressed_up_values_and_many_aliases(spark):
+    catalog = [(1, "sad"), (2, "happy"), (3, "quiet joy"), (4, "gentle breeze"), (5, "gentle breezes")] + [(6, f"warm glow {w}") for w in ("one", "two", "three", "four", "five", "six")] + [(7, "warm glow sixx")]
+    long_ = "well i would say that this one here is after all what we once used to call some qiuet joi if you ask me"
+    values = {
+        "maybe kind of a little bit sad": 1, "probably a little bit sad": 1, long_: 3, "the quiet of a room full of people who wait for somebody else": 0,
+        "gentle breeze": 4, "gentle breeze s": 4, "warm glow four": 6, "warm glow sixx": 7, " ".join(["word"] * 3000): 0, " ".join(["word"] * 3000 + ["happy"]): 2}
+    assert len(long_.split()) > 20 and mapped(spark, catalog, values) == values
+
+
+def test_a_rival_label_behind_many_aliases_is_seen(spark):
+    # the value stands as near to label 2 as to label 1, whose six aliases come first
+    catalog = [(1, f"stage fright{e}") for e in "bcdfhj"] + [(2, "stage frightk")]
+    assert mapped(spark, catalog, ["stage frightx", "stage frighth"]) == {"stage frightx": 0, "stage frighth": 1}
+
+
 def test_labels_that_say_nothing(spark, records):
     cat = spark.createDataFrame(CATALOG, "label_id long, canonical_label string, aliases array<string>")
     src = spark.createDataFrame([("t", "typed")], "source_dataset string, label_style string")

@@ -154,6 +154,27 @@ def test_languages_and_stretches(labelled):
     assert all(0 < r.confidence <= 1 for r in got.values())
 
 
+PARTS["sv"] = ("den gamla målaren", "ett tyst barn", "min granne", "öppnade fönstret", "glömde svaret", "sjöng i trädgården", "medan det regnade", "eftersom ingen lyssnade", "innan kvällen kom")
+
+
+def test_a_rare_language_is_one_and_a_rare_mistake_is_none(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(sentence(rng, "en") for _ in range(2)), "en") for i in range(1500)] + [(2000 + i, sentence(rng, "ru"), "ru") for i in range(80)]
+    rows += [(3000 + i, " ".join(sentence(rng, "sv") for _ in range(2)), "sv") for i in range(8)] + [(4000 + i, " ".join(sentence(rng, "sv") for _ in range(2)), None) for i in range(3)]
+    rows += [(5000 + i, sentence(rng, "ru"), ("bg", "mul", "haw")[i % 3]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, language.Workspace(spark, "t"))
+    assert model.languages == ["en", "ru", "sv"] and model.left_out == ["bg", "haw"]
+    got = {(r.doc_id, r.segment_no, r.lang) for r in language.wrong_labels(df).collect()}
+    assert got == {(4000 + i, 0, "sv") for i in range(3)} | {(5000 + i, 0, "ru") for i in range(6)}
+
+
+def test_samples_are_even_by_label():
+    got = language.equal_shares({"a": 10, "b": 1000, "c": 100_000}, 2010)
+    assert got["a"] == 1 and got["b"] == 1 and got["c"] == pytest.approx(0.01)
+    assert language.equal_shares({"a": 5, "b": 7}, 100) == {"a": 1.0, "b": 1.0}
+
+
 def test_tables_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "some text that nobody labelled", None)], "doc_id long, text string, lang string")
     assert language.wrong_labels(df).count() == 0 and language.wrong_labels(df.limit(0)).count() == 0

@@ -201,13 +201,13 @@ def _cells(lines: list[str], tags: np.ndarray, weights: np.ndarray, n_tags: int)
     bare = [without_marks(x) for x in lines]
     changed = [i for i, (x, y) in enumerate(zip(lines, bare)) if x != y]
     every, tag, weight = lines + [bare[i] for i in changed], np.r_[tags, tags[changed]].astype(np.int64), np.r_[weights, weights[changed]]
-    cells, mass = [np.zeros(0, np.int64)], [np.zeros(0)]
+    present, compact = np.unique(tag, return_inverse=True)
+    total = np.zeros(BUCKETS * present.size)
     for lo, hi in _chunks(every, 500_000):
         for b, o in hashed_grams(every[lo:hi]):
-            cells.append(b.astype(np.int64) * n_tags + tag[lo + o])
-            mass.append(weight[lo + o])
-    found, at = np.unique(np.concatenate(cells), return_inverse=True)
-    return found, np.bincount(at, weights=np.concatenate(mass), minlength=found.size)
+            total += np.bincount(b.astype(np.int64) * present.size + compact[lo + o], weights=weight[lo + o], minlength=total.size)
+    found = np.flatnonzero(total)
+    return found // max(1, present.size) * n_tags + present[found % max(1, present.size)], total[found]
 
 
 def _summed(sample: DataFrame, run) -> dict[str, pd.DataFrame]:

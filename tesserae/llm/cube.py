@@ -2,7 +2,8 @@
 
 A cell is one combination of the balanced categories. Every unit starts with its cell's inclusion probability. A flight
 phase moves probabilities along vectors on which all category counts stand still, until each unit is 0 or 1 or no such
-vector is left. Two units of one cell always give such a vector, so a partition flies all its cells at once by pairs
+vector is left. Units are dealt to a fixed number of virtual partitions by a hash of their key, so the draw does not depend on how
+Spark parts the table. Two units of one cell always give such a vector, so a partition flies all its cells at once by pairs
 (each round settles at least one unit of every pair, so the work is linear); at most one unit per cell is left. The left
 units of all partitions merge upward: first by cell, then the cells of a stratum together, where null vectors of the
 category indicators are sought for further category columns. The landing settles the remainder by dropping the category
@@ -23,6 +24,8 @@ from tesserae.functions.labels import emotion_of, split_of
 from tesserae.workspace import Workspace
 
 EPS = 1e-9
+#: Virtual partitions of the first flight: at most so many units per cell merge upward, whatever the size of the table.
+PARTS = 16_384
 
 
 def _uniform(keys: np.ndarray, salt: str) -> np.ndarray:
@@ -91,21 +94,36 @@ def fly_general(a: np.ndarray, pi: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def _flight(cell_cols: Sequence[str], key_col: str, salt: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in frames if len(f)]
-        if not frames:
-            return
-        f = pd.concat(frames, ignore_index=True).sort_values(key_col, kind="stable", ignore_index=True)
+    """Flies whole cells: the rows of a cell (here: of a virtual partition and a cell) stand in one frame."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(key_col, kind="stable", ignore_index=True)
         cell = f.groupby(list(cell_cols), dropna=False, sort=True).ngroup().to_numpy()
         f["pi"] = fly_pairs(cell, f["pi"].to_numpy(), f[key_col].astype(str).to_numpy(), salt)
-        yield f[f["pi"] > 0]
+        return f[f["pi"] > 0]
 
     return run
 
 
-def _flight_of_cell(cell_cols: Sequence[str], key_col: str, salt: str):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return next(_flight(cell_cols, key_col, salt)(iter([f])), f.iloc[:0])
+def _by_part(fly):
+    """``fly`` over a partition sorted by ``_part``: whole virtual partitions at a time, never more than a batch and one of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            if not len(f):
+                continue
+            last = f["_part"].to_numpy() == f["_part"].iloc[-1]
+            if held and not last.all() or held and held[-1]["_part"].iloc[-1] != f["_part"].iloc[-1]:
+                yield fly(pd.concat([*held, f[~last]], ignore_index=True)).drop(columns="_part")
+                held = [f[last]]
+            elif not last.all():
+                yield fly(f[~last]).drop(columns="_part")
+                held = [f[last]]
+            else:
+                held.append(f)
+        if held:
+            yield fly(pd.concat(held, ignore_index=True)).drop(columns="_part")
 
     return run
 
@@ -136,16 +154,21 @@ def cube_sample(
 
     Within a stratum the number drawn from each cell (combination of ``categories``) is its sum of probabilities, rounded
     up or down. Units with a null probability or 0 are never drawn, those with 1 always. The result has the columns of
-    stratum, categories and key; an empty table gives an empty one. The draw depends on keys and seed only.
+    stratum, categories and key; an empty table gives an empty one. The draw depends on the units and the seed only, not on the
+    partitions of the table or of the shuffles.
     """
     cells = [*stratum, *categories]
     base = units.where(F.col(probability) > 0).select(*cells, key, F.least(F.col(probability), F.lit(1.0)).cast("double").alias("pi"))
     sure = base.where(F.col("pi") >= 1 - EPS).select(*cells, key)
     ws = Workspace(units.sparkSession, "cube")
     schema = base.schema
-    flown = ws.write(base.where(F.col("pi") < 1 - EPS).mapInPandas(_flight(cells, key, f"{seed}/0"), schema), "flown")
-    # at most one open unit per cell and partition goes on: merged by cell, then by stratum
-    merged = flown.where(F.col("pi") < 1).groupBy(*cells).applyInPandas(_flight_of_cell(cells, key, f"{seed}/1"), schema)
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(PARTS)).cast("int")
+    parted = base.where(F.col("pi") < 1 - EPS).withColumn("_part", part)
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = parted.repartition(n, "_part").sortWithinPartitions("_part")
+    flown = ws.write(parted.mapInPandas(_by_part(_flight(["_part", *cells], key, f"{seed}/0")), schema), "flown")
+    # at most one open unit per cell and virtual partition goes on: merged by cell, then by stratum
+    merged = flown.where(F.col("pi") < 1).groupBy(*cells).applyInPandas(_flight(cells, key, f"{seed}/1"), schema)
     merged = ws.write(merged, "merged")
     landed = merged.where(F.col("pi") < 1).groupBy(*stratum).applyInPandas(_landing(stratum, categories, key, f"{seed}/2"), schema)
     parts = [sure, flown.where(F.col("pi") >= 1), merged.where(F.col("pi") >= 1), landed]
@@ -200,8 +223,8 @@ def sample_to_targets(records: DataFrame, targets: DataFrame, seed: int = 7) ->
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         .withColumn("share_drawn", F.try_divide(F.col("drawn").cast("double"), F.col("_total")))
         .withColumn("imbalance", F.col("drawn") - F.least("asked", F.col("available").cast("double")))
-        # all of a short cell is drawn: as many as it has, and fewer than asked
-        .withColumn("falls_short", (F.col("drawn") >= F.col("available")) & (F.col("drawn") < F.col("asked")))
+        # a short cell has fewer than asked; a landing that gave a cell less than its whole number falls short as well
+        .withColumn("falls_short", (F.col("available") < F.col("asked")) | (F.col("drawn") < F.floor("asked")))
         .select("split", "unified_emotion", "asked", "available", "drawn", "target_share", "share_drawn", "imbalance", "falls_short")
     )
     return drawn, report

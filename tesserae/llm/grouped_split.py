@@ -4,13 +4,12 @@ Identities and speakers are vertices, a record that has both is an edge. Borůvk
 least edge that leaves it (edges carry random-looking hashed weights, so trees stay shallow), components along the taken
 edges merge, edges within a component and parallel edges drop out. The edges taken are written as a spanning forest, and
 one written table per round maps components to their root. Roots are then stratified by size band and dealt to the splits.
+Keys that now stand in several splits are looked for below the roots that do.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.labels import SPLITS, split_of
@@ -19,8 +18,6 @@ from tesserae.operators.skew import heavy_keys, lookup_join, prefix_sums, unit_h
 from tesserae.workspace import Workspace
 
 MAX_ROUNDS = 60
-#: Roots of at least this share of all rows are dealt one by one, largest first; there are at most 1 / GIANT of them.
-GIANT = 0.002
 ENTITIES = ("identity_id", "speaker_id")
 
 
@@ -111,57 +108,62 @@ class GroupedSplit:
         )
 
     def conflicts(self) -> DataFrame:
-        """The keys that now occur in more than one split."""
+        """The keys that now occur in more than one split: first the roots of the forest whose rows do, then their keys.
+
+        A key's rows all hang below its root, so a root in one split has no such key and is done with.
+        """
+        keys = self.ws.write(self.entity_table(), "entities")
         n = sum(F.when(F.col(f"n_{s}") > 0, 1).otherwise(0) for s in SPLITS)
-        return self.entity_table().where(n > 1)
+        torn = keys.groupBy("root").agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in SPLITS]).where(n > 1).select("root")
+        return keys.join(self.ws.write(torn, "torn"), "root", "left_semi").where(n > 1)
 
     def root_splits(self, targets: DataFrame, seed: int = 11) -> DataFrame:
         """(root, size, split): every group of linked records with its rows and the split it is dealt.
 
-        ``targets``(split, target_share): shares are scaled to 1; null or negative ones count 0. Giants go one by one to the
-        split that lacks most. All others are stratified by size band (powers of two), larger bands first; in a band roots
-        stand in seeded order and are dealt systematically, a prefix of the band's rows to each split in the measure of what
-        it still lacks. A split is never given more than it lacks but for one root's size per band. Rows without any entity
-        are groups of one and have no root here; see ``assign``.
+        ``targets``(split, target_share): shares are scaled to 1; null or negative ones count 0. Roots are stratified by size
+        band (powers of two) and dealt band after band, larger ones first. In a band roots stand in seeded order, and the
+        splits get a stretch of its rows each, in the measure of what they lack after the bands before; a root goes where its
+        middle stands. A split that lacks less than the least root of the band takes part only if all do. What a band has
+        really dealt is summed before the next one, so no split misses its share by more than about one root's size. Rows
+        without any entity are groups of one and have no root here; see ``assign``.
         """
         owner = self.rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.count(F.lit(1)).alias("n"))
         sizes = owner.join(self.roots, "vertex", "left").groupBy(F.coalesce("root", "vertex").alias("root")).agg(F.sum("n").alias("size"))
-        sizes = self.ws.write(sizes.withColumn("band", F.floor(F.log2("size")).cast("int")), "sizes")
+        sizes = sizes.withColumn("band", F.floor(F.log2("size")).cast("int"))
         goal = {r.split: max(0.0, r.target_share or 0.0) for r in targets.collect() if r.split}  # one row per split
         total, n_all = sum(goal.values()) or 1.0, self.rows.count()
         self.lack = {s: g / total * n_all for s, g in goal.items()}
-        bound = max(1, math.ceil(GIANT * n_all))
-        giants = sizes.where(F.col("size") >= bound).orderBy(F.desc("size"), "root").collect() if n_all else []  # at most 1 / GIANT rows
-        placed = []
-        for g in giants:
-            s = max(sorted(self.lack), key=lambda x: self.lack[x])
-            self.lack[s] -= g["size"]
-            placed.append((g["root"], g["size"], s))
-        schema = "root string, size long, split string"
-        out = self.spark.createDataFrame(placed, schema)
-        rest = sizes.where(F.col("size") < bound)
-        bands = sorted(rest.groupBy("band").agg(F.sum("size").alias("rows")).collect(), key=lambda r: -r.band)  # at most 64 rows
-        cuts = []
-        for r in bands:
-            cuts += self._cut(r.band, r.rows)
+        placed = self.ws.write(prefix_sums(sizes, ["band"], ["root"], F.col("size"), unit_hash(F.col("root"), F.lit(seed))), "placed")
+        middle, cuts = F.col("before") + F.col("size") / 2, []
+        for r in sorted(placed.groupBy("band").agg(F.sum("size").alias("rows")).collect(), key=lambda r: -r.band):  # at most 64 rows
+            mine = self._cut(r.band, r.rows)
+            cuts += mine
+            for x in placed.where(F.col("band") == r.band).groupBy(self._pick(mine, middle).alias("split")).agg(F.sum("size").alias("n")).collect():
+                if x.split is not None:
+                    self.lack[x.split] -= x.n
         at = self.spark.createDataFrame(cuts, "band int, lo double, hi double, split string")
-        placed_ = prefix_sums(rest, ["band"], ["root"], F.col("size"), unit_hash(F.col("root"), F.lit(seed)))
-        dealt = placed_.join(F.broadcast(at), (placed_.band == at.band) & (F.col("before") >= F.col("lo")) & (F.col("before") < F.col("hi")))
-        return out.unionByName(dealt.select("root", "size", "split"))
+        dealt = placed.join(F.broadcast(at), (placed.band == at.band) & (middle >= F.col("lo")) & (middle < F.col("hi")))
+        return dealt.select("root", "size", "split")
 
     def _cut(self, band: int, rows: int) -> list[tuple[int, float, float, str]]:
-        """The band's rows cut into one stretch per split in the measure of what the splits lack."""
-        need = {s: max(0.0, x) for s, x in self.lack.items()}
+        """The band's rows cut into one stretch per split in the measure of what the splits lack, the largest first."""
+        need = {s: x for s, x in self.lack.items() if x >= 2**band} or {s: max(0.0, x) for s, x in self.lack.items()}
         if not sum(need.values()):
             need = {s: 1.0 for s in self.lack}
         all_, at, out = sum(need.values()), 0.0, []
-        for s in sorted(need):
-            part = rows * need[s] / all_
-            out.append((band, at, at + part, s))
-            self.lack[s] -= part
-            at += part
+        for s in sorted(need, key=lambda s: (-need[s], s)):
+            out.append((band, at, at + rows * need[s] / all_, s))
+            at = out[-1][2]
         return [(b, lo, (hi if i < len(out) - 1 else float("inf")), s) for i, (b, lo, hi, s) in enumerate(out)]
 
+    @staticmethod
+    def _pick(cut: list[tuple[int, float, float, str]], at: Column) -> Column:
+        """The split whose stretch ``at`` stands in."""
+        pick = F.lit(cut[-1][3] if cut else None).cast("string")
+        for _, _, hi, s in reversed(cut[:-1]):
+            pick = F.when(at < hi, F.lit(s)).otherwise(pick)
+        return pick
+
     def assign(self, targets: DataFrame, seed: int = 11) -> DataFrame:
         """(id, split): the new split of every record. Rows without an entity fill up what the splits lack, by seeded hash."""
         dealt = self.ws.write(self.root_splits(targets, seed), "dealt")
@@ -172,11 +174,8 @@ class GroupedSplit:
         heavy = self.ws.write(heavy_keys(linked, ["vertex"]), "heavy")
         out = lookup_join(linked, of_vertex, "vertex", heavy, heavy.count(), "inner").select("id", "split")
         free = self.rows.where("vertex IS NULL").select("id")
-        cut = self._cut(0, 1)
-        u, pick = unit_hash(F.col("id"), F.lit(seed)), F.lit(cut[-1][3] if cut else None)
-        for _, _, hi, s in reversed(cut[:-1]):
-            pick = F.when(u < hi, F.lit(s)).otherwise(pick)
-        return out.unionByName(free.select("id", pick.cast("string").alias("split")))
+        pick = self._pick(self._cut(0, 1), unit_hash(F.col("id"), F.lit(seed)))
+        return out.unionByName(free.select("id", pick.alias("split")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

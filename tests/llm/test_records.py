@@ -55,6 +55,28 @@ def test_sample_to_targets(spark, records):
     assert empty.count() == 0 and report.where("falls_short").count() == 4
 
 
+def test_the_draw_does_not_depend_on_partitions(spark):
+    rows = [(i % 2, "abc"[i % 3], f"k{i}", 0.3 + 0.1 * (i % 3)) for i in range(3000)]
+    units, before = spark.createDataFrame(rows, "s int, c string, k string, pi double"), spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in ("3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(pairs(cube.cube_sample(units.repartition(int(n)), "k", ["s"], ["c"])))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    for s, c in itertools.product((0, 1), "abc"):
+        assert sum(x[:2] == (s, c) for x in got[0]) == pytest.approx(sum(r[3] for r in rows if r[:2] == (s, c)), abs=1)
+
+
+def test_whole_virtual_partitions_fly_at_once():
+    import pandas as pd
+
+    seen = []
+    frames = [pd.DataFrame({"_part": p, "v": range(len(p))}) for p in ([1, 1, 2], [2], [2, 2], [3, 4], [], [4, 5])]
+    out = pd.concat(list(cube._by_part(lambda f: seen.append(f["_part"].tolist()) or f)(iter(frames))))
+    assert len(out) == 10 and all(sum(p in s for s in seen) == 1 for p in (1, 2, 3, 4, 5))
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 def components(edges):
@@ -122,6 +144,14 @@ def test_related_records_stay_together(spark, records):
     assert pairs(run.conflicts().select("entity_field", "entity_key")) == {k for k, s in now.items() if len(s) > 1}
 
 
+def test_giants_are_dealt_like_all_others(spark, records):
+    sizes = [400, 390, 150, 140, 20, 18, *[3] * 100, *[1] * 82]
+    r = records(*[dict(record_id=k * 1000 + i, identity_id=f"id{k}") for k, n in enumerate(sizes) for i in range(n)])
+    targets = spark.createDataFrame([("train", 0.7), ("val", 0.15), ("test", 0.15)], "split string, target_share double")
+    got = collections.Counter(x.split for x in grouped_split.GroupedSplit(r).assign(targets).collect())
+    assert sum(sizes) == 1500 and abs(got["train"] - 1050) <= 20 and abs(got["val"] - 225) <= 20 and abs(got["test"] - 225) <= 20, got
+
+
 def test_proportions_are_reached_where_groups_are_small(spark, records):
     r = records(*[dict(record_id=i, identity_id=f"id{i // 3}") for i in range(3000)])
     targets = spark.createDataFrame([("train", 0.7), ("val", 0.15), ("test", 0.15)], "split string, target_share double")

@@ -108,6 +108,27 @@ def test_mixture(spark):
     assert mixing.Mixture(documents(spark).limit(0), t).rows().count() == 0
 
 
+def test_an_empty_source_gives_to_all_languages_of_its_domain(spark):
+    rows = [(i, "alpha beta " * 10, ("en", None)[i % 10 == 0], "a") for i in range(200)] + [(1000 + i, "alpha beta " * 10, "en", "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.2, 3), ("gone", 0.2, 3), ("b", 0.6, 3)], "source string, target_share double, max_repeats long")
+    tree = spark.createDataFrame([("a", "x"), ("gone", "x"), ("gone", "y"), ("b", "y"), (None, "z")], "source string, domain string")
+    m = mixing.Mixture(docs, targets, tree, total_tokens=4000)
+    got = {p[1:]: b for p, b in m.budget.items()}
+    assert got["und", "a"] == pytest.approx(got["en", "a"] / 9) and got["=gone", "gone"] == 0 and got["en", "b"] == pytest.approx(2400)
+    assert mixing.Mixture(docs, targets, total_tokens=4000).budget[("other", "en", "b")] == pytest.approx(3000)
+
+
+def test_what_leaves_miss_is_carried(spark):
+    rows = [(i, "alpha beta " * 40, f"{chr(97 + i % 24)}z", "a") for i in range(24 * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = mixing.Mixture(docs, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats long"))
+    one = m.docs.first().n_tokens
+    m = mixing.Mixture(docs, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats long"), total_tokens=int(one * 24 * 2.4))
+    r = m.report().first()
+    assert abs(r.mixed_tokens - r.budget_tokens) <= one / 2 + 1
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 PARTS = {

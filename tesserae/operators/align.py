@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.hashing import digest_mod, hash_split
 from tesserae.functions.labels import RELATED, TAXONOMY, emotion_match, taxonomy_index
 from tesserae.functions.vectors import clamp01, dot, let, norm, normalised
+from tesserae.operators.skew import in_order
+from tesserae.workspace import Workspace
 
 
 @dataclass(frozen=True)
@@ -56,15 +58,13 @@ def related_table(spark) -> DataFrame:
 def numbered_pools(pool: DataFrame, id_col: str, source_col: str = "dataset_source") -> tuple[DataFrame, DataFrame]:
     """(rows with ``place`` from 0, emotion counts) in the order of taxonomy, source and id within each emotion.
 
-    Places come from counts per (emotion, source) and a rank within that pair. A pool for an anchor is the emotions related to
-    it, one after another in the order of the taxonomy.
+    Places come from one sort of the pool by ranges, so neither an emotion nor a source is ever in one task. A pool for an anchor
+    is the emotions related to it, one after another in the order of the taxonomy.
     """
-    per = pool.groupBy("unified_emotion", source_col).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("unified_emotion").orderBy(source_col).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = Window.partitionBy("unified_emotion", source_col).orderBy(id_col)
-    rows = pool.withColumn("_r", F.row_number().over(rank) - 1).join(F.broadcast(per.select("unified_emotion", source_col, "base")), ["unified_emotion", source_col])
-    return rows.withColumn("place", F.col("base") + F.col("_r")).drop("_r", "base"), per.groupBy("unified_emotion").agg(F.sum("n").alias("n_emotion"))
+    rows = in_order(pool, ["unified_emotion", source_col, id_col], Workspace(pool.sparkSession, "pool"))
+    per = rows.groupBy("unified_emotion").agg(F.count(F.lit(1)).alias("n_emotion"), F.min("place").alias("_first"))
+    rows = rows.join(F.broadcast(per.select("unified_emotion", "_first")), "unified_emotion")
+    return rows.withColumn("place", F.col("place") - F.col("_first")).drop("_first"), per.drop("_first")
 
 
 def looked_at(anchors: DataFrame, counts: DataFrame, salt: str, limit: int = LOOKED) -> DataFrame:

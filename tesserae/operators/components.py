@@ -14,6 +14,8 @@ def star_edges(rows: DataFrame, key: str, id_col: str, rule: str) -> DataFrame:
     """(left, right, rule, value): each row of a key linked to the key's least row. Null keys link nothing; a key of n rows gives n - 1 edges."""
     keyed = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("value"), F.col(id_col).alias("right"))
     anchor = keyed.groupBy("value").agg(F.min("right").alias("left"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written, so that the join has a shuffle under each side and the rows of a heavy key are split over tasks
+    anchor = Workspace(rows.sparkSession, "stars").write(anchor, "anchor")
     return keyed.join(anchor, "value").where("left <> right").select("left", "right", F.lit(rule).alias("rule"), "value")
 
 
@@ -22,20 +24,21 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
 
     Large star: every vertex links its larger neighbours to the least vertex around it. Small star: every vertex links its
     smaller neighbours and itself to the least of them. Both only lower the far end of an edge, and a fixpoint is a star per
-    component. A vertex's neighbourhood is aggregated and joined, never collected.
+    component. A vertex's neighbourhood is aggregated and joined, never collected; aggregates are written before they are joined
+    back, so that a hub's rows are split over tasks.
     """
     ws = Workspace(edges.sparkSession, "components")
     e = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
     e, mark = ws.write(e, "edges"), None
     for _ in range(MAX_ROUNDS):
         ways = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = ws.write(ways.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        large = ws.write(ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        down = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         both = large.join(down, "u")
         small = both.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
         step = ws.write(small, "edges")
-        ws.drop(e)
+        ws.drop(e, least, large, down)
         e = step
         found = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == tuple(found):

@@ -12,6 +12,7 @@ from tesserae.functions.labels import SPLITS
 from tesserae.functions.text import token_line
 from tesserae.functions.hashing import text_digest
 from tesserae.operators import blocking
+from tesserae.workspace import Workspace
 
 PRIORITY = {"train": 0, "val": 1, "test": 2}
 
@@ -41,7 +42,7 @@ def affected(rows: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     out = None
     for name, key in keys.items():
         one = leaking_keys(rows, key).agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
-        one = one.select(F.lit(name).alias("check"), "n_keys", "n_rows", F.round(100.0 * F.col("n_rows") / F.lit(max(total, 1)), 4).alias("percent"))
+        one = one.select(F.lit(name).alias("check"), "n_keys", "n_rows", F.bround(100.0 * F.col("n_rows") / F.lit(max(total, 1)), 4).alias("percent"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -102,7 +103,7 @@ def match_summary(samples: DataFrame, matches: DataFrame) -> DataFrame:
     """(check, n_keys, n_rows, percent) of near matches per kind: pairs, rows in them, and their share of all rows."""
     total = samples.count()
     one = matches.select("kind", F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_rows"))
-    return one.select(F.col("kind").alias("check"), (F.col("n") / 2).cast("long").alias("n_keys"), "n_rows", F.round(100.0 * F.col("n_rows") / F.lit(max(total, 1)), 4).alias("percent"))
+    return one.select(F.col("kind").alias("check"), (F.col("n") / 2).cast("long").alias("n_keys"), "n_rows", F.bround(100.0 * F.col("n_rows") / F.lit(max(total, 1)), 4).alias("percent"))
 
 
 def cross_dataset_matches(samples: DataFrame, matches: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -134,7 +135,8 @@ def remediation(samples: DataFrame, keys: Sequence[str] = ("identity_id", "speak
     """
     moves = None
     for k in keys:
-        target = majority_split(samples, k).where("n_splits > 1").select(k, "target_split")
+        # written: a heavy key's rows can be split over tasks where both sides of the join are shuffled
+        target = Workspace(samples.sparkSession, "moves").write(majority_split(samples, k).where("n_splits > 1").select(k, "target_split"), "target")
         m = samples.where(F.col("split").isNotNull() & F.col(k).isNotNull()).join(target, k).where("split <> target_split").select(
             F.col(id_col).alias("id"), F.col("split").alias("from_split"), F.col("target_split").alias("to_split"), F.concat(F.lit(f"{k}:"), F.col(k)).alias("reason"))
         moves = m if moves is None else moves.unionByName(m)

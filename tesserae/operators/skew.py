@@ -68,6 +68,21 @@ def prefix_sums(
     return b.join(part, cond).select(*keep, (b["_in"] + part["_off"]).alias("before"))
 
 
+def in_order(df: DataFrame, order: Sequence[str], ws) -> DataFrame:
+    """Adds ``place``: the row's place from 0 in the order of the columns, over the whole table.
+
+    A range-partitioned sort is written with the partition and the row within it; the offsets of the partitions are one row
+    each. No task holds more than its range, whatever the groups are. ``order`` should tell rows apart, else ties are in any order.
+    """
+    at = ws.write(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_m", 33)
+    sizes = at.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row per partition
+    rows = at.withColumn("_p", part).join(F.broadcast(sizes), "_p")
+    return rows.withColumn("place", F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_off", "_m")
+
+
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) from a hash of the columns: the same on every run and every executor."""
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")) / F.lit(float(1 << 52))

@@ -16,7 +16,13 @@ from tesserae.functions.labels import SPLITS
 from tesserae.functions.text import token_line
 from tesserae.operators.blocking import blocked_pairs
 from tesserae.operators.components import connected_components, labelled, star_edges
-from tesserae.workspace import ship
+from tesserae.workspace import Workspace, ship
+
+
+# The weights of the misses in the balanced assignment, and what a first source and a split of few emotions take off.
+SIZE_WEIGHT = 1.8
+BALANCE = {"emotions": 1.2, "sources": 1.0, "modes": 0.6}
+NEW_SOURCE, FEW_EMOTIONS = 0.1, 0.05
 
 
 @dataclass(frozen=True)
@@ -73,7 +79,7 @@ def audio_buckets(samples: DataFrame, policy: Policy = Policy(), key: str = "aud
 
 def hard_edges(samples: DataFrame, policy: Policy = Policy(), id_col: str = "record_id", pair_keys: Sequence[str] = (), link_keys: Sequence[str] = ()) -> DataFrame:
     """(left, right, rule, value): star edges of every hard rule. ``pair_keys`` and ``link_keys`` name explicit link columns, whose values are told apart by column."""
-    ok = audio_buckets(samples, policy).where("refusal IS NULL AND n_rows > 1").select("audio_path")
+    ok = Workspace(samples.sparkSession, "audio").write(audio_buckets(samples, policy).where("refusal IS NULL AND n_rows > 1").select("audio_path"), "ok")
     linkable = samples.join(ok, "audio_path", "left_semi")
     parts = [star_edges(samples, k, id_col, r) for k, r in (("sample_id", "sample_id"), ("identity_id", "identity_id"), ("speaker_id", "speaker_id"), ("image_path", "image_hash"))]
     parts.append(star_edges(linkable, "audio_path", id_col, "audio_hash"))
@@ -163,7 +169,7 @@ def assign_balanced(groups: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """
     ship(groups.sparkSession)
     kind = groups.schema["group_id"].dataType.simpleString()
-    weights = {"emotions": 1.2, "sources": 1.0, "modes": 0.6}
+    weights = BALANCE
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["size", "n_splits", "n_sources", "group_id"], ascending=[False, False, False, True], ignore_index=True)
@@ -187,15 +193,15 @@ def assign_balanced(groups: DataFrame, policy: Policy = Policy()) -> DataFrame:
                 have[s][k].update(rows[i][k])
 
         def cost(r: dict, s: str) -> float:
-            c = 1.8 * abs(size[s] + r["size"] - goal[s]) / max(goal[s], 1.0)
+            c = SIZE_WEIGHT * abs(size[s] + r["size"] - goal[s]) / max(goal[s], 1.0)
             for k, w in weights.items():
                 for x, n in r[k].items():
                     aim = whole[k][x] * share[s]
                     c += w * abs(have[s][k][x] + n - aim) / max(aim + 1.0, 1.0)
             if r["sources"] and not have[s]["sources"]:
-                c -= 0.1
+                c -= NEW_SOURCE
             if r["emotions"] and len(have[s]["emotions"]) < 3:
-                c -= 0.05
+                c -= FEW_EMOTIONS
             return c
 
         free = list(range(len(rows)))
@@ -326,7 +332,7 @@ def repair_components(members: DataFrame, policy: Policy = Policy(), pairs: Data
 def soft_conflicts(members: DataFrame, policy: Policy = Policy(), pairs: DataFrame | None = None) -> DataFrame:
     """Warnings of exact text, exact audio (buckets that may be linked) and ambiguous audio (those that may not), of members(group_id, split, text_key, audio_path, ...), and of their ``near_pairs`` (looked for if they are not given)."""
     pairs = near_pairs(members, policy) if pairs is None else pairs
-    ok = audio_buckets(members, policy).select("audio_path", F.col("refusal").isNull().alias("_ok"))
+    ok = Workspace(members.sparkSession, "audio").write(audio_buckets(members, policy).select("audio_path", F.col("refusal").isNull().alias("_ok")), "ok")
     tagged = members.join(ok, "audio_path", "left")
     exact = tagged.withColumn("_a", F.when(F.col("_ok"), F.col("audio_path")))
     loose = tagged.withColumn("_a", F.when(~F.col("_ok"), F.col("audio_path")))
@@ -424,8 +430,6 @@ def repair_plan(groups: DataFrame, conflicts: DataFrame, policy: Policy = Policy
 
 def repair(members: DataFrame, policy: Policy = Policy(), ws=None) -> DataFrame:
     """Members after up to ``rounds`` rounds of conflicts and repair; dropped groups are gone."""
-    from tesserae.workspace import Workspace
-
     ws = ws or Workspace(members.sparkSession, "repair")
     for _ in range(policy.rounds):
         groups = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.first("split").alias("split"))

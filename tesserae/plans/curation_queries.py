@@ -66,7 +66,7 @@ _CHECKS = {"identity": "identity_id", "speaker": "speaker_id", "image": "image_p
 @query("q_leakage_summary", f"WITH {S.SAMPLES}, {_TEXTED}, c AS (" + " UNION ALL ".join(
     f"""SELECT '{n}' AS "check", count(*) AS n_keys, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_rows FROM (SELECT count(*) AS k FROM texted
  WHERE {c} IS NOT NULL AND split IS NOT NULL GROUP BY {c} HAVING count(DISTINCT split) > 1)""" for n, c in _CHECKS.items()) + """)
-SELECT "check", n_keys, n_rows, round(100.0 * n_rows / (SELECT count(*) FROM samples), 4) AS percent,
+SELECT "check", n_keys, n_rows, round_even(100.0 * n_rows / (SELECT count(*) FROM samples), 4) AS percent,
  CASE WHEN 100.0 * n_rows / (SELECT count(*) FROM samples) >= 1.0 OR n_keys >= 10 THEN 'FAIL' WHEN 100.0 * n_rows / (SELECT count(*) FROM samples) >= 0.1 OR n_keys >= 1 THEN 'WARNING' ELSE 'PASS' END AS status FROM c""")
 def q_leakage_summary(spark, sf_dir):
     s = leakage.content_keys(samples(spark, sf_dir))
@@ -208,9 +208,12 @@ def _star(key: str, rule: str, where: str = "true") -> str:
     return f"""SELECT "left", record_id AS "right", '{rule}' AS rule, {key} AS value FROM (SELECT record_id, {key}, min(record_id) OVER (PARTITION BY {key}) AS "left" FROM samples WHERE {key} IS NOT NULL AND {where}) WHERE "left" <> record_id"""
 
 
-@query("q_hard_edges", f"WITH {S.SAMPLES}, {_BUCKETS} " + " UNION ALL ".join([
+_HARD = " UNION ALL ".join([
     _star("sample_id", "sample_id"), _star("identity_id", "identity_id"), _star("speaker_id", "speaker_id"), _star("image_path", "image_hash"),
-    _star("audio_path", "audio_hash", "audio_path IN (SELECT audio_path FROM guarded WHERE refusal IS NULL)")]))
+    _star("audio_path", "audio_hash", "audio_path IN (SELECT audio_path FROM guarded WHERE refusal IS NULL)")])
+
+
+@query("q_hard_edges", f"WITH {S.SAMPLES}, {_BUCKETS} {_HARD}")
 def q_hard_edges(spark, sf_dir):
     return splits.hard_edges(samples(spark, sf_dir))
 
@@ -220,13 +223,21 @@ def _members(spark, sf_dir):
     return Workspace(spark, "members").write(splits.grouped(s, splits.hard_edges(s)), "members")
 
 
-@query("q_hard_groups")
+_GROUPS = f"""WITH RECURSIVE {S.SAMPLES}, {_BUCKETS}, hard AS ({_HARD}), ways AS (SELECT DISTINCT u, v FROM (SELECT "left" AS u, "right" AS v FROM hard UNION ALL SELECT "right", "left" FROM hard)),
+ reach(member, root) USING KEY (member) AS (SELECT u, least(u, min(v)) FROM ways GROUP BY u
+ UNION SELECT w.v, min(r.root) FROM reach r JOIN ways w ON w.u = r.member JOIN recurring.reach o ON o.member = w.v WHERE r.root < o.root GROUP BY w.v),
+ groups AS (SELECT record_id, coalesce(root, record_id) AS group_id FROM samples LEFT JOIN reach ON member = record_id)"""
+
+
+@query("q_hard_groups", f"{_GROUPS} SELECT * FROM groups")
 def q_hard_groups(spark, sf_dir):
     """(record_id, group_id) of all records: connected by any hard rule."""
     return _members(spark, sf_dir).select("record_id", "group_id")
 
 
-@query("q_group_statistics")
+@query("q_group_statistics", f"""{_GROUPS}, sizes AS (SELECT count(*) AS size FROM groups GROUP BY group_id), placed AS (SELECT size, row_number() OVER (ORDER BY size DESC) AS k, count(*) OVER () AS n, sum(size) OVER () AS rows FROM sizes)
+SELECT any_value(n) AS n_groups, CAST(any_value(rows) AS BIGINT) AS n_rows, max(size) AS largest, round(max(size) / any_value(rows), 6) AS largest_share, max(CASE WHEN k = n // 2 + 1 THEN size END) AS middle_size,
+ count(*) FILTER (size > 5000) AS over_size, count(*) FILTER (size / rows > 0.35) AS over_share FROM placed""")
 def q_group_statistics(spark, sf_dir):
     return component_statistics(component_sizes(_members(spark, sf_dir).withColumnRenamed("group_id", "component")))
 
@@ -241,7 +252,12 @@ def q_assign_balanced(spark, sf_dir):
     return splits.assign_balanced(splits.group_table(_members(spark, sf_dir)))
 
 
-@query("q_assign_by_deficit")
+@query("q_assign_by_deficit", f"""WITH RECURSIVE {S.SAMPLES}, g AS (SELECT identity_id AS group_id, count(*) AS size FROM samples WHERE identity_id IS NOT NULL GROUP BY 1),
+ o AS (SELECT *, row_number() OVER (ORDER BY sha256(group_id), group_id) AS k, CAST(sum(size) OVER () AS DOUBLE) AS total FROM g),
+ fold(k, group_id, size, split, tr, va, te) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+ UNION ALL SELECT k, group_id, size, s, tr + CASE s WHEN 'train' THEN size ELSE 0 END, va + CASE s WHEN 'val' THEN size ELSE 0 END, te + CASE s WHEN 'test' THEN size ELSE 0 END FROM (
+  SELECT o.k, o.group_id, o.size, tr, va, te, CASE WHEN total * 0.7 - tr >= greatest(total * 0.15 - va, total * 0.15 - te) THEN 'train' WHEN total * 0.15 - va >= total * 0.15 - te THEN 'val' ELSE 'test' END AS s FROM fold f JOIN o ON o.k = f.k + 1))
+SELECT group_id, size, split FROM fold WHERE k > 0""")
 def q_assign_by_deficit(spark, sf_dir):
     m = samples(spark, sf_dir).where("identity_id IS NOT NULL")
     return splits.assign_by_deficit(m.groupBy(F.col("identity_id").alias("group_id")).agg(F.count(F.lit(1)).alias("size")))

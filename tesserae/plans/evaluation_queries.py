@@ -87,7 +87,7 @@ _KNN = f"""near AS (SELECT q.vec_id AS s, b.vec_id AS d, round({S.unit_cosine('q
  graph AS (SELECT src, dst, max(weight) AS weight FROM (SELECT s AS src, d AS dst, w AS weight FROM top UNION ALL SELECT d, s, w FROM top) WHERE weight > 0 GROUP BY src, dst)"""
 
 
-@query("q_knn_graph")
+@query("q_knn_graph", f"WITH {_KNN} SELECT src, dst, round(weight, 6) AS weight FROM graph")
 def q_knn_graph(spark, sf_dir):
     return graphs.knn_graph(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5).withColumn("weight", F.round("weight", 6))
 

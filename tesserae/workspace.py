@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {_KEY} to a folder that all executors share")
         _own[app] = tempfile.mkdtemp(prefix="tesserae-")
         spark.sparkContext.setCheckpointDir(_own[app])

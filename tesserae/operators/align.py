@@ -67,14 +67,15 @@ def numbered_pools(pool: DataFrame, id_col: str, source_col: str = "dataset_sour
     return rows.withColumn("place", F.col("place") - F.col("_first")).drop("_first"), per.drop("_first")
 
 
-def looked_at(anchors: DataFrame, counts: DataFrame, salt: str, limit: int = LOOKED) -> DataFrame:
+def looked_at(anchors: DataFrame, counts: DataFrame, salt: str, limit: int = LOOKED, related: bool = True) -> DataFrame:
     """(anchor columns, unified_emotion of the pool, place, ordinal): the strided sample of an anchor's pool.
 
     All of a pool up to ``limit``; of a larger one every (n // limit)-th place from the digest of ``salt:anchor id`` modulo n on,
-    around the end.
+    around the end. The pool holds the related emotions, or all of them.
     """
     spark = anchors.sparkSession
-    rel = related_table(spark).join(F.broadcast(counts), F.col("emotion") == F.col("unified_emotion")).drop("unified_emotion")
+    kin = related_table(spark) if related else spark.createDataFrame([(a, b) for a in TAXONOMY for b in TAXONOMY], "anchor_emotion string, emotion string")
+    rel = kin.join(F.broadcast(counts), F.col("emotion") == F.col("unified_emotion")).drop("unified_emotion")
     rel = rel.withColumn("t", taxonomy_index("emotion"))
     before = Window.partitionBy("anchor_emotion").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     rel = rel.withColumn("lo", F.coalesce(F.sum("n_emotion").over(before), F.lit(0)))
@@ -88,17 +89,20 @@ def looked_at(anchors: DataFrame, counts: DataFrame, salt: str, limit: int = LOO
     return joined.select(*[a[c] for c in anchors.columns], "ordinal", F.col("emotion").alias("unified_emotion"), (F.col("at") - F.col("lo")).alias("place"))
 
 
-def candidates(anchors: DataFrame, pool: DataFrame, id_col: str, vec: str, salt: str, limit: int = LOOKED, kept: int = KEPT) -> DataFrame:
+def candidates(anchors: DataFrame, pool: DataFrame, id_col: str, vec: str, salt: str, limit: int = LOOKED, kept: int = KEPT, related: bool = True, keep: str | None = None) -> DataFrame:
     """The ``kept`` most similar of the looked-at pool of every anchor, with emotion score and similarity.
 
     anchors(anchor_id, anchor_emotion, anchor_vec); pool(id_col, dataset_source, unified_emotion, vec, ...). Similarity falling,
-    then the order in which the pool was looked at.
+    then the order in which the pool was looked at. Without ``related`` the pool holds every emotion and none is asked to match.
+    ``keep`` names a column for the candidate's unit vector.
     """
     # unit vectors once per row, so that a pair costs one product; the zero vector has none and is similar to nothing
     unit = lambda c: F.when(norm(c) > 0, normalised(c))
     rows, counts = numbered_pools(pool.where(F.col("unified_emotion").isin(*TAXONOMY)).withColumn("_v", unit(vec)).drop(vec), id_col)
-    seen = looked_at(anchors.withColumn("_a", unit("anchor_vec")).drop("anchor_vec"), counts, salt, limit).join(rows, ["unified_emotion", "place"])
-    seen = seen.withColumn("emotion_score", emotion_match("anchor_emotion", "unified_emotion")).where("emotion_score > 0")
+    seen = looked_at(anchors.withColumn("_a", unit("anchor_vec")).drop("anchor_vec"), counts, salt, limit, related).join(rows, ["unified_emotion", "place"])
+    seen = seen.withColumn("emotion_score", emotion_match("anchor_emotion", "unified_emotion"))
+    seen = seen.where("emotion_score > 0") if related else seen
+    seen = seen.withColumn(keep, F.col("_v")) if keep else seen
     seen = seen.withColumn("similarity", F.round(F.coalesce(clamp01((dot("_a", "_v") + 1) / 2), F.lit(0.0)), 9)).drop("_a", "_v")
     best = Window.partitionBy("anchor_id").orderBy(F.desc("similarity"), F.desc("emotion_score"), "ordinal")
     return seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= kept).drop("place")
@@ -132,6 +136,14 @@ def mode_flags(mask: str = "modality_mask") -> dict[str, Column]:
     }
 
 
+def quality(rows: DataFrame, least: float, need: tuple[str, ...] = (), score: str = "alignment_scores.final_score", mask: str = "modality_mask") -> DataFrame:
+    """Rows whose score is at least ``least`` and that have the needed modalities (audio, text, reference_image). A null score or flag fails."""
+    ok = F.col(score) >= least
+    for m in need:
+        ok = ok & F.coalesce(F.col(f"{mask}.has_{m}"), F.lit(False))
+    return rows.where(ok)
+
+
 def best_per_class(rows: DataFrame, by: str, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows of every class in the given order."""
     w = Window.partitionBy(by).orderBy(*order)

@@ -95,43 +95,47 @@ def leader_clusters(rows: DataFrame, block: str, id_col: str, vec: str, least_co
     return have.groupBy("block").applyInPandas(run, f"id {kind}, leader {kind}")
 
 
-def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096) -> DataFrame:
+#: Queries whose vectors are broadcast at once.
+QUERY_PART = 20_000
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 1024) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the k nearest rows of ``base`` by unit cosine, ties by id, a row never its own neighbour.
 
-    The stated queries are broadcast in blocks when they are few (they are checked to fit), and each partition of ``base`` keeps its
-    own k best per query, so what is shuffled is k rows per query and partition.
+    The stated queries are worked off in parts of about QUERY_PART, whose vectors are broadcast; each partition of ``base`` keeps
+    its own k best per query, so what is shuffled is k rows per query and partition.
     """
     ship(queries.sparkSession)
     q = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    n = q.count()
-    if n > 200_000:
-        raise ValueError("more queries than are broadcast at once: pass them in parts")
-    pdf = q.orderBy("id").toPandas()
-    ids = pdf["id"].to_numpy()
-    m = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, m))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
-        for f in frames:
-            if not len(f) or not len(ids):
-                continue
-            x = np.stack(f["v"].to_numpy())
-            s = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, s, out=np.zeros_like(x), where=s > 0)
-            other = f["id"].to_numpy()
-            for lo in range(0, len(ids), block_rows):
-                sim = np.clip((m[lo : lo + block_rows] @ x.T + 1) / 2, 0, 1).round(12)
-                sim[ids[lo : lo + block_rows][:, None] == other[None]] = -1
-                top = min(k, sim.shape[1])
-                part = np.lexsort((np.broadcast_to(other, sim.shape), -sim), axis=1)[:, :top]
-                yield pd.DataFrame({
-                    "query_id": np.repeat(ids[lo : lo + block_rows], top), "neighbour_id": other[part].ravel(),
-                    "similarity": np.take_along_axis(sim, part, 1).ravel()})
-
-    cand = base.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(
-        run, "query_id long, neighbour_id long, similarity double").where("similarity >= 0")
+    rows = base.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    n_parts, cand = max(1, -(-q.count() // QUERY_PART)), None
+    for part in range(n_parts):
+        pdf = q.where(F.pmod(F.xxhash64("id"), F.lit(n_parts)) == part).orderBy("id").toPandas()
+        ids = pdf["id"].to_numpy()
+        shared = queries.sparkSession.sparkContext.broadcast((ids, _unit(np.stack(pdf["v"].to_numpy())) if len(pdf) else np.zeros((0, 1))))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            for f in frames:
+                if not len(f) or not len(ids):
+                    continue
+                f = f.sort_values("id", ignore_index=True)
+                x, other = _unit(np.stack(f["v"].to_numpy())), f["id"].to_numpy()
+                for lo in range(0, len(ids), block_rows):
+                    sim = np.clip((m[lo : lo + block_rows] @ x.T + 1) / 2, 0, 1).round(12)
+                    sim[ids[lo : lo + block_rows][:, None] == other[None]] = -1
+                    top = min(k, sim.shape[1])
+                    # all that reach the k-th best similarity, so that no tie is lost; the ranks below settle them by id
+                    least = np.partition(sim, sim.shape[1] - top, axis=1)[:, -top]
+                    r, c = np.nonzero(sim >= least[:, None])
+                    yield pd.DataFrame({"query_id": ids[lo + r], "neighbour_id": other[c], "similarity": sim[r, c]})
+
+        one = rows.mapInPandas(run, "query_id long, neighbour_id long, similarity double").where("similarity >= 0")
+        cand = one if cand is None else cand.unionByName(one)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     return cand.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

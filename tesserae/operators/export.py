@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.hashing import anonymous_id
 from tesserae.functions.text import safe_token
+from tesserae.operators.skew import in_order
+from tesserae.workspace import Workspace
 
 
 def flattened(df: DataFrame, prefix: str = "", sep: str = "_") -> list[Column]:
@@ -24,6 +26,22 @@ def flattened(df: DataFrame, prefix: str = "", sep: str = "_") -> list[Column]:
     return list(walk(df.schema, []))
 
 
+def without_transient(df: DataFrame) -> DataFrame:
+    """The table without columns whose name begins with an underscore."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def examples(rows: DataFrame, order: list, limit: int = 10) -> DataFrame:
+    """The first few rows in an order, for a report."""
+    return rows.orderBy(*order).limit(limit)
+
+
+def numbered_groups(groups: DataFrame, group: str, prefix: str = "group") -> DataFrame:
+    """(group, name): names with running numbers of six digits in the order of the groups. Numbers come from one sort by ranges."""
+    each = in_order(groups.select(group).where(F.col(group).isNotNull()).distinct(), [group], Workspace(groups.sparkSession, "names"))
+    return each.select(group, F.format_string(f"{prefix}_%06d", F.col("place") + 1).alias("name"))
+
+
 def export_ids(rows: DataFrame, id_col: str, order: str) -> DataFrame:
     """Rows with ``export_id``: a safe form of the id, later occurrences with a number of at least three digits behind it."""
     safe = safe_token(id_col)

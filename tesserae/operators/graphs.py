@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.blocking import nearest
@@ -22,6 +24,25 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return both.where((F.col("weight") > 0) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
+#: The nodes of the modality graph, in order.
+NODES = ("text", "identity", "emotion", "image", "audio")
+# The nodes that an ablation switches off.
+ABLATIONS = {
+    "no_identity_branch": ("identity",),
+    "no_audio": ("audio",),
+    "text_only": ("identity", "emotion", "image", "audio"),
+    "image_text": ("emotion", "audio"),
+    "text_audio": ("identity", "image"),
+}
+
+
+def node_mask(has_reference, has_audio, ablations: Sequence[str] = ()) -> Column:
+    """Which of NODES take part: identity needs a reference image, audio a sound; ablations switch nodes off."""
+    off = {n for a in ablations for n in ABLATIONS[a]}
+    have = {"identity": F.coalesce(F.col(has_reference), F.lit(False)), "audio": F.coalesce(F.col(has_audio), F.lit(False))}
+    return F.array(*[F.lit(0.0) if n in off else have.get(n, F.lit(True)).cast("double") for n in NODES])
+
+
 def knn_graph(rows: DataFrame, id_col: str, vec: str, k: int = 10) -> DataFrame:
     """Each row with its k nearest by unit cosine, made symmetric. All rows are queries, in parts of what is broadcast at once."""
     have = rows.where(F.col(vec).isNotNull())

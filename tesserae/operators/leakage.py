@@ -116,6 +116,26 @@ def cross_dataset_matches(samples: DataFrame, matches: DataFrame, id_col: str =
     return both.groupBy(F.least("left_source", "right_source").alias("source_a"), F.greatest("left_source", "right_source").alias("source_b")).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+#: The checks by name, and what else runs with one: the cross-modal check with that of speakers, the cross-data-set one with duplicates.
+CHECKS = ("identity", "speaker", "duplicates")
+IMPLIED = {"speaker": ("cross_modal",), "duplicates": ("cross_dataset",)}
+
+
+def selected_checks(**wanted: bool) -> list[str]:
+    """The checks that run: those switched on (all if none is named), followed by what they imply."""
+    unknown = set(wanted) - set(CHECKS)
+    if unknown:
+        raise ValueError(f"no such check: {', '.join(sorted(unknown))}")
+    on = [c for c in CHECKS if wanted.get(c, not any(wanted.values()))]
+    return on + [x for c in on for x in IMPLIED.get(c, ())]
+
+
+def combined_share(explicit: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(n_rows, percent): the larger of the shares that two ways of finding a leak report, each one row (n_rows, percent)."""
+    both = explicit.select("n_rows", "percent").unionByName(fallback.select("n_rows", "percent"))
+    return both.agg(F.max("n_rows").alias("n_rows"), F.max("percent").alias("percent"))
+
+
 def severity(percent, count, major=(1.0, 10), minor=(0.1, 1)) -> Column:
     """FAIL, WARNING or PASS by the share in percent or the number."""
     return F.when((percent >= major[0]) | (count >= major[1]), "FAIL").when((percent >= minor[0]) | (count >= minor[1]), "WARNING").otherwise("PASS")

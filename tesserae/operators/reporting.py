@@ -27,6 +27,67 @@ def seed_aggregate(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] |
     return rows.groupBy(*by).agg(*aggs)
 
 
+# The names a section of rows may have.
+SECTIONS = {
+    "main_results": ("main_results", "main", "main_table"),
+    "cross_dataset": ("cross_dataset", "cross_dataset_generalization"),
+    "architecture": ("architecture", "architecture_comparison"),
+    "geometry": ("geometry", "geometry_evaluation"),
+    "retrieval": ("retrieval", "retrieval_evaluation"),
+    "ablations": ("ablation", "ablations", "component_ablations", "modality_ablations"),
+    "sensitivity": ("sensitivity", "graph_sensitivity"),
+}
+# The columns that may carry the x axis and the group of a sensitivity curve, in order of preference.
+CURVE_X = ("ot_regularization", "regularization", "graph_perturbation", "k")
+CURVE_GROUP = ("graph_topology", "topology", "variant", "method")
+
+
+def section_rows(rows: DataFrame, table: str) -> DataFrame:
+    """The rows of a table's section under any of its names, read without case; all rows where there is no such column."""
+    return rows.where(F.lower("section").isin(*SECTIONS.get(table, (table,)))) if "section" in rows.columns else rows
+
+
+def seed_rows(rows: DataFrame, by: Sequence[str], metrics: Sequence[str], order: str | None = None, digits: int = 3) -> DataFrame:
+    """(by..., status, num_samples, <metric>...): the seeds of a row in one, metrics as mean ± deviation.
+
+    status lists the distinct ones in order, joined by commas; num_samples is the largest, 0 if there is none. With
+    ``order`` the rows come in the order in which their keys first appear.
+    """
+    aggs = [F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status") if "status" in rows.columns else F.lit("").alias("status"),
+            F.coalesce(F.max("num_samples"), F.lit(0)).alias("num_samples") if "num_samples" in rows.columns else F.lit(0).alias("num_samples")]
+    for m in metrics:
+        aggs += [F.avg(numeric(m)).alias(f"_m_{m}"), F.stddev_pop(numeric(m)).alias(f"_s_{m}")]
+    if order:
+        aggs.append(F.min(order).alias("_first"))
+    out = rows.groupBy(*by).agg(*aggs)
+    out = out.orderBy("_first") if order else out
+    return out.select(*by, "status", "num_samples", *[mean_std(f"_m_{m}", f"_s_{m}", digits).alias(m) for m in metrics])
+
+
+def cross_dataset_table(rows: DataFrame, metric_of: dict[str, str], default: str, by: Sequence[str] = ("name",)) -> DataFrame:
+    """One row per ``by`` with a column per data set: the mean of the metric that ``metric_of`` names for it (else ``default``)."""
+    names = sorted(r.dataset for r in rows.select("dataset").where("dataset IS NOT NULL").distinct().collect())  # the data sets of a report
+    return rows.groupBy(*by).agg(*[F.avg(F.when(F.col("dataset") == d, numeric(metric_of.get(d, default)))).alias(d) for d in names])
+
+
+def sensitivity_curve(rows: DataFrame, metric: str) -> DataFrame:
+    """(curve, x, y) in order: x and curve are the first columns of CURVE_X and CURVE_GROUP that the table has (curve null if none).
+
+    The metric may also stand under <metric>_mean, or in lower case.
+    """
+    x = next((c for c in CURVE_X if c in rows.columns), None)
+    y = next((c for c in (metric, f"{metric}_mean", metric.lower(), f"{metric.lower()}_mean") if c in rows.columns), None)
+    if x is None or y is None:
+        raise KeyError(f"no column for {'x' if x is None else metric} among {rows.columns}")
+    group = next((F.col(c) for c in CURVE_GROUP if c in rows.columns), F.lit(None).cast("string"))
+    return rows.select(group.alias("curve"), F.col(x).alias("x"), F.col(y).alias("y")).orderBy("curve", "x")
+
+
+def top_counts(rows: DataFrame, key: str, limit: int = 5) -> DataFrame:
+    """(key, n) of the most frequent keys; ties by key."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(limit)
+
+
 def wide(rows: DataFrame, by: str, split: str, metrics: Sequence[str], splits: Sequence[str] = ("val", "test")) -> DataFrame:
     """One row per ``by`` with <split>_<metric> columns."""
     p = rows.groupBy(by).pivot(split, list(splits))

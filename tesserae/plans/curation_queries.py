@@ -370,19 +370,37 @@ def q_text_candidates(spark, sf_dir):
     return c.select("anchor_id", "record_id", F.round("similarity", 4).alias("similarity"), F.col("rank"))
 
 
+def _vectors_by_slot(spark, sf_dir, rows, slot, name: str):
+    """``rows`` with a stand-in vector of the table of vectors, by a number taken from the row."""
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("_slot"), V.doubles("embedding").alias(name))
+    return rows.withColumn("_slot", slot % e.count()).join(v, "_slot").drop("_slot")
+
+
 @query("q_aligned_tuples")
 def q_aligned_tuples(spark, sf_dir):
-    """Image records aligned with a text and, where there is one, a reference image: scores fused, thresholds applied."""
+    """Image records aligned with a text and, where there are any, a sound and a reference image: scores fused, thresholds applied.
+
+    The sound is the best of its looked-at pool by .7 of the emotion score and .3 of its similarity to the image; image and sound,
+    and text and sound, agree by the unit cosine of their vectors (0 without a sound).
+    """
     ws, a, t = _anchors_and_texts(spark, sf_dir)
     slim = a.select("anchor_id", "anchor_emotion", "anchor_vec")
-    text = align.chosen(align.candidates(slim, t, "record_id", "vec", "text"), F.col("emotion_score") * 0.8 + F.col("similarity") * 0.2)
-    text = text.select("anchor_id", F.col("sample_id").alias("text_id"), F.col("emotion_score").alias("text_emotion"), F.col("similarity").alias("clip"))
+    text = align.chosen(align.candidates(slim, t, "record_id", "vec", "text", keep="text_vec"), F.col("emotion_score") * 0.8 + F.col("similarity") * 0.2)
+    text = text.select("anchor_id", F.col("sample_id").alias("text_id"), F.col("emotion_score").alias("text_emotion"), F.col("similarity").alias("clip"), "text_vec")
+    s = samples(spark, sf_dir).where("audio_path IS NOT NULL").select("record_id", "dataset_source", "unified_emotion", F.col("sample_id").alias("audio_id"))
+    sounds = ws.write(_vectors_by_slot(spark, sf_dir, s, F.col("record_id") * 7 + 3, "vec"), "sounds")
+    audio = align.chosen(align.candidates(slim, sounds, "record_id", "vec", "audio", keep="audio_vec"), F.col("emotion_score") * 0.7 + F.col("similarity") * 0.3)
+    audio = audio.select("anchor_id", "audio_id", F.col("emotion_score").alias("audio_emotion"), F.col("similarity").alias("imagebind"), "audio_vec")
     pool = a.select(F.col("anchor_id").alias("record_id"), "dataset_source", F.col("anchor_emotion").alias("unified_emotion"), F.col("anchor_vec").alias("vec"), F.col("identity_id").alias("ref_identity"), F.col("sample_id").alias("ref_id"))
     own = a.select("anchor_id", "identity_id", F.col("sample_id").alias("own_id"))
-    ref = align.candidates(slim, pool, "record_id", "vec", "ref").join(own, "anchor_id").where("ref_id <> own_id")
+    ref = align.candidates(slim, pool, "record_id", "vec", "ref", related=False).join(own, "anchor_id").where("ref_id <> own_id")
     ref = align.chosen(ref, F.when(F.col("identity_id") == F.col("ref_identity"), F.lit(1.0)).otherwise(F.col("similarity")))
     ref = ref.select("anchor_id", "ref_id", F.col("composite").alias("identity_similarity"))
-    j = a.drop("anchor_vec").join(text, "anchor_id").join(ref, "anchor_id", "left")
-    fused = align.fused_score("text_emotion", F.coalesce("identity_similarity", F.lit(0.0)), "clip", F.lit(0.0), F.lit(0.0))
-    j = j.withColumn("final_score", F.round(fused, 6)).where(align.passes("final_score", "text_emotion", "identity_similarity", F.col("ref_id").isNotNull()))
-    return j.select(align.tuple_id("sample_id", "text_id", F.lit(None).cast("string"), "ref_id").alias("sample_id"), align.resolved_split("split", "sample_id").alias("split"), F.col("anchor_emotion").alias("unified_emotion"), "identity_id", "final_score")
+    j = a.drop("anchor_vec").join(text, "anchor_id").join(audio, "anchor_id", "left").join(ref, "anchor_id", "left")
+    feeling = F.when(F.col("audio_id").isNull(), F.col("text_emotion")).otherwise((F.col("text_emotion") + F.col("audio_emotion")) / 2)
+    heard = F.coalesce(V.clamp01((V.dot("text_vec", "audio_vec") + 1) / 2), F.lit(0.0))
+    j = j.withColumn("emotion_score", feeling)
+    fused = align.fused_score("emotion_score", F.coalesce("identity_similarity", F.lit(0.0)), "clip", F.coalesce("imagebind", F.lit(0.0)), heard)
+    j = j.withColumn("final_score", F.round(fused, 6)).where(align.passes("final_score", "emotion_score", "identity_similarity", F.col("ref_id").isNotNull()))
+    return j.select(align.tuple_id("sample_id", "text_id", "audio_id", "ref_id").alias("sample_id"), align.resolved_split("split", "sample_id").alias("split"), F.col("anchor_emotion").alias("unified_emotion"), "identity_id", "final_score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as V
 from tesserae.functions.labels import TAXONOMY, TRAJECTORY
-from tesserae.operators import graphs, metrics, reporting
+from tesserae.operators import consistency, graphs, metrics, reporting
 from tesserae.plans import sqltext as S
 from tesserae.plans.catalog import query, table
 from tesserae.plans.curation_queries import _NEAR
@@ -191,6 +191,89 @@ def q_label_f1(spark, sf_dir):
     return p.where("target <> '' AND predicted <> ''").groupBy("target", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("q_seed_rows", f"""WITH {_RUNS}, k AS (SELECT *, CASE WHEN num_samples > 20 THEN 'ok' ELSE 'few' END AS status FROM runs)
+SELECT method, split, array_to_string(list_sort(list(DISTINCT status)), ',') AS status, max(num_samples) AS num_samples, printf('%.3f ± %.3f', avg(acc), stddev_pop(acc)) AS acc FROM k GROUP BY method, split""")
+def q_seed_rows(spark, sf_dir):
+    """The seeds of a method and split in one row, with their statuses and the largest number of samples."""
+    r = _runs(spark, sf_dir).withColumn("status", F.when(F.col("num_samples") > 20, "ok").otherwise("few"))
+    return reporting.seed_rows(r, ["method", "split"], ["acc"])
+
+
+@query("q_cross_dataset_table", f"""WITH {_RUNS} SELECT method AS name, round(avg(acc) FILTER (split = 'val'), 6) AS val, round(CAST(avg(num_samples) FILTER (split = 'test') AS DOUBLE), 6) AS test FROM runs GROUP BY method""")
+def q_cross_dataset_table(spark, sf_dir):
+    """One metric for one data set and another for the other, side by side (here the two halves of the events)."""
+    r = _runs(spark, sf_dir).select(F.col("method").alias("name"), F.col("split").alias("dataset"), "acc", "num_samples")
+    t = reporting.cross_dataset_table(r, {"val": "acc"}, "num_samples")
+    return t.select("name", F.round("val", 6).alias("val"), F.round("test", 6).alias("test"))
+
+
+@query("q_sensitivity_curve", f"WITH {_RUNS} SELECT method AS curve, seed AS x, round(avg(acc), 6) AS y FROM runs GROUP BY ALL")
+def q_sensitivity_curve(spark, sf_dir):
+    r = _runs(spark, sf_dir).groupBy("method", F.col("seed").alias("k")).agg(F.avg("acc").alias("acc_mean"))
+    return reporting.sensitivity_curve(r, "Acc").withColumn("y", F.round("y", 6))
+
+
+@query("q_top_labels", "SELECT raw_label, count(*) AS n FROM normalized_records WHERE raw_label IS NOT NULL GROUP BY 1 ORDER BY n DESC, raw_label LIMIT 5")
+def q_top_labels(spark, sf_dir):
+    return reporting.top_counts(table(spark, sf_dir, "normalized_records"), "raw_label")
+
+
+# --- agreement of modalities ---------------------------------------------------------------------------------------
+
+_COS = lambda x, y: f"({S.dot(x, y)} / ((sqrt({S.dot(x, x)}) + 1e-8) * (sqrt({S.dot(y, y)}) + 1e-8)))"
+
+
+@query("q_agreement", f"""WITH {_PARSED}, v AS (SELECT split, a, b, list_reverse(a) AS c FROM parsed WHERE a IS NOT NULL AND b IS NOT NULL AND len(a) = len(b)),
+ s AS (SELECT split, {_COS('b', 'a')} AS ti, {_COS('a', 'c')} AS ia, {_COS('b', 'c')} AS ta FROM v)
+SELECT split, count(*) AS n, round(avg(ti), 6) AS clip, round(avg(0.5 * ti + 0.5 * ia), 6) AS ib, round(avg((ti + 1) / 2), 6) AS identity, CAST(NULL AS DOUBLE) AS human, round(avg((ti + ta + ia) / 3), 6) AS consistency FROM s GROUP BY split""")
+def q_agreement(spark, sf_dir):
+    """The agreement scores, with the two stored vectors for image and prompt and the first one reversed for the sound."""
+    p = _predictions(spark, sf_dir).where("a IS NOT NULL AND b IS NOT NULL AND size(a) = size(b)").withColumn("c", F.reverse("a"))
+    out = consistency.agreement(p, "b", "a", "c", "b", ["split"])
+    return out.select("split", "n", *[F.round(c, 6).alias(c) for c in ("clip", "ib", "identity", "human", "consistency")])
+
+
+@query("q_prompts", """SELECT CASE WHEN trim(coalesce(prompt, '')) <> '' THEN prompt ELSE 'a ' || coalesce(target_emotion, '') || ' face' END AS prompt, count(*) AS n FROM predictions GROUP BY 1""")
+def q_prompts(spark, sf_dir):
+    p = table(spark, sf_dir, "predictions").select(consistency.prompt_of("prompt", "target_emotion").alias("prompt"))
+    return p.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_prepared_predictions", "SELECT sample_id FROM predictions WHERE split = 'test' ORDER BY sample_id LIMIT 200")
+def q_prepared_predictions(spark, sf_dir):
+    """The rows of one split up to a cap, by sample_id: the cap is the feature."""
+    return consistency.prepared(table(spark, sf_dir, "predictions"), "test", 200).select("sample_id")
+
+
+@query("q_stored_scores", "SELECT sample_id, " + ", ".join(f"alignment_scores.{k} AS {c}" for k, c in consistency.SCORE_COLUMNS.items()) + " FROM aligned_samples")
+def q_stored_scores(spark, sf_dir):
+    """Scores written as JSON and read again."""
+    a = table(spark, sf_dir, "aligned_samples").select("sample_id", F.to_json("alignment_scores").alias("alignment_scores"))
+    return consistency.with_stored_scores(a).drop("alignment_scores")
+
+
+_SHIFTED = "list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 0.25 * (i % 3))"
+
+
+@query("q_retrieval", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q, {_SHIFTED} AS t, list_reverse(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings),
+ sims AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.q, b.t), 12) AS t, round(list_cosine_similarity(a.q, b.s), 12) AS s FROM e a JOIN e b ON a.vec_id % 50 = 0),
+ gold AS (SELECT i, t AS gt, s AS gs FROM sims WHERE i = j),
+ r AS (SELECT i, 1 + count(*) FILTER (t > gt OR (t = gt AND j < i)) AS t, 1 + count(*) FILTER (s > gs OR (s = gs AND j < i)) AS s FROM sims JOIN gold USING (i) GROUP BY i)
+SELECT direction, k, count(*) AS n, round(avg(CASE WHEN CASE direction WHEN 'I2T' THEN t ELSE s END <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM r, (VALUES ('I2T'), ('I2A')) d(direction), (VALUES (1), (5)) c(k) GROUP BY direction, k""")
+def q_retrieval(spark, sf_dir):
+    """Recall of a stated query set (ids divisible by 50) against all rows, with stand-ins for the vectors of text and sound."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles("embedding").alias("image"))
+    e = e.withColumn("text", F.transform("image", lambda x, i: x + 0.25 * ((i + 1) % 3))).withColumn("sound", F.reverse("image"))
+    return consistency.retrieval_table(e.where("vec_id % 50 = 0"), e, "vec_id", "image", {"I2T": "text", "I2A": "sound"}).withColumn("recall", F.round("recall", 6))
+
+
+@query("q_node_masks", """SELECT [1.0, CASE WHEN modality_mask.has_reference_image THEN 1.0 ELSE 0.0 END, 1.0, 1.0, 0.0]::DOUBLE[] AS mask, count(*) AS n FROM aligned_samples GROUP BY 1""")
+def q_node_masks(spark, sf_dir):
+    """How often each node mask of the modality graph occurs where sounds are switched off."""
+    m = graphs.node_mask("modality_mask.has_reference_image", "modality_mask.has_audio", ["no_audio"])
+    return table(spark, sf_dir, "aligned_samples").select(m.alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- arriving records ----------------------------------------------------------------------------------------------
 
 @query("q_arrivals", f"""SELECT make_timestamp(604800000000 * (epoch_us(ingested_at) // 604800000000)) AS start, source_dataset, {S.SPLIT} AS split, count(*) AS n FROM normalized_records

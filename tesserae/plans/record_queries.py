@@ -298,3 +298,37 @@ def q_reference_chain(spark, sf_dir):
 @query("q_clean_text", f"SELECT record_id, {S.clean('text')} AS text FROM normalized_records")
 def q_clean_text(spark, sf_dir):
     return table(spark, sf_dir, "normalized_records").select("record_id", T.clean_text("text").alias("text"))
+
+
+@query("q_quality", """SELECT split, count(*) AS n FROM aligned_samples WHERE alignment_scores.final_score >= 0.7 AND coalesce(modality_mask.has_audio, false) AND coalesce(modality_mask.has_text, false) GROUP BY split""")
+def q_quality(spark, sf_dir):
+    from tesserae.operators.align import quality
+
+    return quality(table(spark, sf_dir, "aligned_samples"), 0.7, ("audio", "text")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_numbered_groups", f"WITH {S.SAMPLES} SELECT identity_id, printf('group_%06d', row_number() OVER (ORDER BY identity_id)) AS name FROM (SELECT DISTINCT identity_id FROM samples WHERE identity_id IS NOT NULL)")
+def q_numbered_groups(spark, sf_dir):
+    """Groups of one identity, named by a running number."""
+    return X.numbered_groups(samples(spark, sf_dir), "identity_id")
+
+
+@query("q_affect_records", f"""SELECT CAST(record_id AS VARCHAR) AS sample_id, {S.SPLIT} AS split, trim(text) AS text, text AS raw_text, {S.AFFECT} AS unified_emotion, valence, arousal FROM normalized_records WHERE valence IS NOT NULL""")
+def q_affect_records(spark, sf_dir):
+    """Rated texts read as a corpus of their own."""
+    from tesserae.sources.corpora import affect_rated
+
+    r = table(spark, sf_dir, "normalized_records").where("valence IS NOT NULL").select(F.col("record_id").alias("id"), "split", F.col("valence").alias("V"), F.col("arousal").alias("A"), "text")
+    return affect_rated(r).select("sample_id", "split", "text", "raw_text", "unified_emotion", "valence", "arousal")
+
+
+@query("q_combined_leakage", f"""WITH {S.SAMPLES}, a AS (SELECT count(*) AS k FROM samples WHERE identity_id IS NOT NULL AND split IS NOT NULL GROUP BY identity_id HAVING count(DISTINCT split) > 1),
+ b AS (SELECT count(*) AS k FROM samples WHERE image_path IS NOT NULL AND split IS NOT NULL GROUP BY image_path HAVING count(DISTINCT split) > 1)
+SELECT CAST(greatest((SELECT coalesce(sum(k), 0) FROM a), (SELECT coalesce(sum(k), 0) FROM b)) AS BIGINT) AS n_rows,
+ round_even(100.0 * greatest((SELECT coalesce(sum(k), 0) FROM a), (SELECT coalesce(sum(k), 0) FROM b)) / (SELECT count(*) FROM samples), 4) AS percent""")
+def q_combined_leakage(spark, sf_dir):
+    """The larger of the leaks by identity and by its fallback, the image."""
+    from tesserae.operators import leakage
+
+    s = samples(spark, sf_dir)
+    return leakage.combined_share(leakage.affected(s, {"identity": "identity_id"}), leakage.affected(s, {"image": "image_path"}))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import ascii_tokens, token_line
-from tesserae.workspace import ship
+from tesserae.operators.skew import HEAVY_LIMIT
+from tesserae.workspace import Workspace, ship
 
 
 def classes(rows: DataFrame, key: str, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -20,6 +21,22 @@ def classes(rows: DataFrame, key: str, id_col: str) -> tuple[DataFrame, DataFram
     return reps, have.join(reps.select(key, "class_id"), key).select(id_col, "class_id")
 
 
+#: A block of more rows is compared in parts of about so many, each two parts in a place of their own.
+BLOCK_ROWS = 4_096
+
+
+def _parts_of_blocks(base: DataFrame, block: Sequence[str]) -> DataFrame | None:
+    """(block..., _parts) of the blocks of more than BLOCK_ROWS rows, written and broadcast if they are few; None if there are none."""
+    sizes = base.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_ROWS)
+    for c in block:
+        sizes = sizes.where(F.col(c).isNotNull())
+    large = Workspace(base.sparkSession, "blocks").write(sizes.select(*block, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_parts")), "large")
+    n = large.count()
+    if not n:
+        return None
+    return F.broadcast(large) if n <= HEAVY_LIMIT else large
+
+
 def blocked_pairs(
     rows: DataFrame, block: Sequence[str], id_col: str, carry: Sequence[str], accept, different: Sequence[str] = (),
     max_rows: int | None = None, max_visits: int | None = None,
@@ -41,7 +58,16 @@ def blocked_pairs(
         keep = [*keep, "_i", "_n"]
     a = base.select(*block, F.col("_id").alias("left_id"), *[F.col(c).alias(f"left_{c}") for c in keep])
     b = base.select(*block, F.col("_id").alias("right_id"), *[F.col(c).alias(f"right_{c}") for c in keep])
-    pairs = a.join(b, list(block)).where("left_id < right_id")
+    parts = _parts_of_blocks(base, block)
+    if parts is None:
+        pairs = a.join(b, list(block)).where("left_id < right_id")
+    else:
+        # every row of the left stands in its own part against all parts of the right, so each two rows meet in one place
+        every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+        own = lambda c: F.pmod(F.xxhash64(c), F.coalesce("_parts", F.lit(1))).cast("int")
+        a = a.join(parts, list(block), "left").withColumn("_p", own("left_id")).withColumn("_q", F.explode(every)).drop("_parts")
+        b = b.join(parts, list(block), "left").withColumn("_q", own("right_id")).withColumn("_p", F.explode(every)).drop("_parts")
+        pairs = a.join(b, [*block, "_p", "_q"]).where("left_id < right_id").drop("_p", "_q")
     if max_visits is not None:
         i, j, n = F.col("left__i"), F.col("right__i"), F.col("left__n")
         pairs = pairs.where((i * n - F.floor(i * (i + 1) / 2) + (j - i)) <= max_visits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from tesserae.functions.labels import SPLITS
 from tesserae.functions.text import token_line
 from tesserae.operators.blocking import blocked_pairs
 from tesserae.operators.components import connected_components, labelled, star_edges
+from tesserae.operators.skew import in_order
 from tesserae.workspace import Workspace, ship
 
 
@@ -126,46 +128,81 @@ def targets(total: int, policy: Policy, reserved: bool) -> dict[str, float]:
     return {"train": total * policy.train, "val": val, "test": test}
 
 
+def reserved_segments(classes: Sequence[tuple[int, int]], goal: Mapping[str, float], have: dict[str, int]) -> list[tuple[int, int, int, str, str]]:
+    """(size, start, end, first, second) for classes (size, number) of equal groups in falling size: who gets the groups from place
+    ``start`` to ``end`` of the whole order, first and second by turns. What no segment names stays train.
+
+    Each group goes to the one of val and test that lacks most (ties: fewer rows so far, then the later name) while one lacks any.
+    Groups of one size are alike, so runs are counted instead of walked: first the one that lacks more until they are level,
+    then by turns, then what is left.
+    """
+    out, at = [], 0
+    lack = lambda s: goal[s] - have[s]
+
+    def give(size: int, n: int, first: str, second: str | None = None) -> None:
+        nonlocal at, k
+        out.append((size, at, at + n, first, second or first))
+        have[first] += size * (n if second is None else n // 2)
+        if second:
+            have[second] += size * (n // 2)
+        at, k = at + n, k - n
+
+    for size, k in classes:
+        while k:
+            open_ = [s for s in ("val", "test") if lack(s) > 0]
+            if not open_:
+                return out
+            first = max(open_, key=lambda s: (lack(s), -have[s], s))
+            if len(open_) == 1:
+                give(size, min(k, max(1, math.floor(lack(first) / size))), first)
+                continue
+            second = "val" if first == "test" else "test"
+            ahead = lack(first) - lack(second)
+            if ahead >= size:
+                give(size, min(k, math.floor(ahead / size)), first)
+            elif (turns := min(k // 2, math.floor(lack(second) / size) - 1)) > 0:
+                give(size, 2 * turns, first, second)
+            else:
+                give(size, 1, first)
+    return out
+
+
 def assign_reserved(groups: DataFrame, policy: Policy = Policy(reserve=1.04)) -> DataFrame:
     """(group_id, size, split): val and test are filled first, everything else is train.
 
-    Val, then test, take the group nearest to their target. The other groups come in order of size, existing splits and sources
-    (all falling) and id; each goes to the evaluation split that lacks most (ties: fewer rows so far, then the later name) while
-    one lacks any. The order matters, so one task folds over the summary of the groups: one short row per group.
+    Val, then test, take the group nearest to their target (ties: the least id). The other groups come in order of size, existing
+    splits and sources (all falling) and id; each goes to the evaluation split that lacks most (ties: fewer rows so far, then the
+    later name) while one lacks any. Only sizes decide, so the order is folded over its distinct sizes (at most the square root
+    of twice the rows) and groups find their split by their place in it; no task holds the groups.
     """
-    ship(groups.sparkSession)
+    ws = Workspace(groups.sparkSession, "reserved")
+    slim = ws.write(groups.select("group_id", "size", "n_splits", "n_sources"), "groups")
+    goal, have, taken = targets(int(slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]), policy, True), {"val": 0, "test": 0}, []
+    for s in ("val", "test"):
+        free = slim.where(~F.col("group_id").isin([r.group_id for r, _ in taken])) if taken else slim
+        best = free.agg(F.min(F.struct((F.abs(F.col("size") - goal[s]) / max(goal[s], 1.0)).alias("d"), "group_id", "size")).alias("x")).first().x
+        if best is not None:
+            taken.append((best, s))
+            have[s] += best["size"]
+    rest = slim.where(~F.col("group_id").isin([r.group_id for r, _ in taken])) if taken else slim
+    order = {"_size": -F.col("size"), "_splits": -F.col("n_splits"), "_sources": -F.col("n_sources")}
+    rest = in_order(rest.withColumns(order), [*order, "group_id"], ws)
+    classes = [(r["size"], r.n) for r in rest.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()]
+    segments = groups.sparkSession.createDataFrame(reserved_segments(classes, goal, have), "size long, start long, end long, first string, second string")
+    per_size = segments.groupBy("size").agg(F.collect_list(F.struct("start", "end", "first", "second")).alias("segments"))  # a handful per size
+    mine = F.get(F.filter("segments", lambda x: (x["start"] <= F.col("place")) & (F.col("place") < x["end"])), 0)
+    pick = F.when(mine.isNull(), "train").when((F.col("place") - mine["start"]) % 2 == 0, mine["first"]).otherwise(mine["second"])
+    out = rest.withColumn("size", F.col("size").cast("long")).join(per_size, "size", "left").select("group_id", "size", pick.alias("split"))
     kind = groups.schema["group_id"].dataType.simpleString()
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["size", "n_splits", "n_sources", "group_id"], ascending=[False, False, False, True], ignore_index=True)
-        size, goal = f["size"].to_numpy(), targets(int(f["size"].sum()), policy, True)
-        have, out, free = {"val": 0, "test": 0}, ["train"] * len(f), list(range(len(f)))
-        for s in ("val", "test"):
-            if free:
-                # among equal distances the smaller id
-                best = min(free, key=lambda i: (abs(size[i] - goal[s]) / max(goal[s], 1.0), f["group_id"][i]))
-                free.remove(best)
-                out[best] = s
-                have[s] += size[best]
-        for i in free:
-            lack = {s: goal[s] - have[s] for s in have}
-            open_ = [s for s in lack if lack[s] > 0]
-            if not open_:
-                break
-            s = max(open_, key=lambda x: (lack[x], -have[x], x))
-            out[i] = s
-            have[s] += size[i]
-        return pd.DataFrame({"group_id": f["group_id"], "size": f["size"], "split": out})
-
-    return groups.select("group_id", "size", "n_splits", "n_sources", F.lit(1).alias("_one")).groupBy("_one").applyInPandas(
-        lambda f: run(f.drop(columns="_one")), f"group_id {kind}, size long, split string")
+    first = groups.sparkSession.createDataFrame([(r.group_id, r["size"], s) for r, s in taken], f"group_id {kind}, size long, split string")
+    return first.unionByName(out)
 
 
 def assign_balanced(groups: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(group_id, size, split): each group goes where the weighted misses of size, emotions, sources and modalities grow least.
 
-    Val, test and train first take the group nearest to their target (ties: more sources, more emotions, id). Folds over the
-    summary of the groups in one task, like ``assign_reserved``.
+    Val, test and train first take the group nearest to their target (ties: more sources, more emotions, id). The
+    misses depend on what every group before brought, so one task folds over the summary of the groups: one short row per group.
     """
     ship(groups.sparkSession)
     kind = groups.schema["group_id"].dataType.simpleString()

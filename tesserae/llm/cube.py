@@ -247,3 +247,10 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)[1]
+
+
+def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every draw: the amounts, and that each cell gives its amount (or all it has) rounded up or down."""
+    most = F.least("asked", F.col("available").cast("double"))
+    whole = (F.col("drawn") >= F.floor(most)) & (F.col("drawn") <= F.ceil(most))
+    return _run(spark, sf_dir)[1].select("split", "unified_emotion", F.round("asked", 6).alias("asked"), "available", "falls_short", whole.alias("drawn_whole"))

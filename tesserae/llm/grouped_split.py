@@ -189,6 +189,16 @@ def p2_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.assign(spark.read.parquet(f"{sf_dir}/split_targets.parquet")).withColumnRenamed("id", "record_id")
 
 
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_field, n_keys, n_torn): how many keys there are, and of how many the new splits tear the rows apart."""
+    run = GroupedSplit(spark.read.parquet(f"{sf_dir}/normalized_records.parquet"))
+    new = run.ws.write(run.assign(spark.read.parquet(f"{sf_dir}/split_targets.parquet")), "new")
+    long = run.rows.join(new, "id").select("split", F.explode(F.array("a", "b")).alias("vertex")).where("vertex IS NOT NULL")
+    seen = long.groupBy("vertex").agg(*[F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS])
+    torn = sum(F.col(s) for s in SPLITS) > 1
+    return seen.groupBy(F.substring_index("vertex", "=", 1).alias("entity_field")).agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(torn).alias("n_torn"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(split, n_rows, share_reached, target_share): the proportions the new splits reach."""
     targets = spark.read.parquet(f"{sf_dir}/split_targets.parquet")

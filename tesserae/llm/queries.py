@@ -8,9 +8,11 @@ QUERIES = {
     "p1_found": cube.p1_found,
     "p1_sample": cube.p1_sample,
     "p1_report": cube.p1_report,
+    "p1_check": cube.p1_check,
     "p2_found": grouped_split.p2_found,
     "p2_assignment": grouped_split.p2_assignment,
     "p2_report": grouped_split.p2_report,
+    "p2_check": grouped_split.p2_check,
     "p3_found": canonical.p3_found,
     "p3_report": canonical.p3_report,
     "p5_found": overlap.p5_found,

@@ -334,3 +334,24 @@ def test_consolidation_against_union_find(spark, seed):
     want = components([(a.strip(), b.strip()) for _, _, a, _, b, _, v, _, _ in links if v and v.strip().lower() == "match" and a and b and a.strip() and b.strip()])
     assert dict(pairs(consolidate.consolidate_links(df))) == want
     assert consolidate.consolidate_links(df.limit(0)).count() == 0
+
+
+def test_a_key_with_half_of_all_links(spark):
+    """A hub whose rows no task should hold alone; thresholds are as far below the usual ones as the table here is."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in small}
+    edges = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "m-hub").otherwise(F.concat(F.lit("z"), F.col("id"))).alias("u"), F.concat(F.lit("k"), F.format_string("%05d", F.col("id"))).alias("v"))
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = consolidate.connected_groups(edges).groupBy("group_key").count().orderBy(F.desc("count"), "group_key").limit(2).collect()
+        assert [tuple(r) for r in got] == [("k00000", 10_001), ("k00001", 2)]
+        ways = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
+        ws = consolidate.Workspace(spark, "t")
+        least = ws.write(ways.groupBy("a").agg(F.min("b").alias("m")), "least")
+        told = ways.repartition(8).join(least, "a")
+        assert len(told.collect()) == 40_000 and "skew=true" in told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -120,6 +120,17 @@ def drop_reason(policy: Policy, total: Column) -> Column:
         F.lit(policy.drop_ambiguous) & (F.col("n_splits") > 2), "ambiguous_existing_split_links")
 
 
+def with_drop_reason(groups: DataFrame, policy: Policy) -> DataFrame:
+    """Groups with ``reason`` (null for those that go on to the assignment); shares are of the rows of all groups."""
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return groups.withColumn("reason", drop_reason(policy, F.lit(total)))
+
+
+def kept(groups: DataFrame, policy: Policy) -> DataFrame:
+    """The groups that go on to the assignment."""
+    return with_drop_reason(groups, policy).where("reason IS NULL").drop("reason")
+
+
 def targets(total: int, policy: Policy, reserved: bool) -> dict[str, float]:
     val, test = total * policy.val, total * policy.test
     if reserved:

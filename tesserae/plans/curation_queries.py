@@ -242,6 +242,18 @@ def q_group_statistics(spark, sf_dir):
     return component_statistics(component_sizes(_members(spark, sf_dir).withColumnRenamed("group_id", "component")))
 
 
+_STRICT = splits.Policy(quarantine_oversized=True, drop_ambiguous=True, max_group_size=20)
+
+
+@query("q_dropped_groups", f"""{_GROUPS}, g AS (SELECT group_id, count(*) AS size, count(DISTINCT split) AS n_splits FROM groups JOIN samples USING (record_id) GROUP BY group_id), t AS (SELECT sum(size) AS total FROM g),
+ r AS (SELECT group_id, size, CASE WHEN size > 20 OR (total >= 1000 AND size / total > 0.35) THEN 'oversized_hard_group' WHEN n_splits > 2 THEN 'ambiguous_existing_split_links' END AS reason FROM g, t)
+SELECT * FROM r WHERE reason IS NOT NULL""")
+def q_dropped_groups(spark, sf_dir):
+    """Groups that a strict policy leaves out of the assignment, with the reason."""
+    g = splits.with_drop_reason(splits.group_table(_members(spark, sf_dir)), _STRICT)
+    return g.where("reason IS NOT NULL").select("group_id", "size", "reason")
+
+
 @query("q_assign_reserved")
 def q_assign_reserved(spark, sf_dir):
     return splits.assign_reserved(splits.group_table(_members(spark, sf_dir)))
@@ -287,7 +299,8 @@ def q_soft_conflicts(spark, sf_dir):
 def q_repaired_counts(spark, sf_dir):
     """(split, n) after the balanced assignment of hard groups and its repair."""
     m = _members(spark, sf_dir).drop("split").withColumn("text_key", text_digest("text"))
-    a = splits.assign_balanced(splits.group_table(m.withColumn("split", F.lit(None).cast("string")))).select("group_id", "split")
+    g = splits.kept(splits.group_table(m.withColumn("split", F.lit(None).cast("string"))), splits.Policy())
+    a = splits.assign_balanced(g).select("group_id", "split")
     keyed = Workspace(spark, "repair").write(m.join(a, "group_id"), "assigned")
     return leakage.split_counts(splits.repair(keyed))
 

@@ -17,7 +17,7 @@ from tesserae.workspace import Workspace, ship
 def classes(rows: DataFrame, key: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(representatives, membership) of exact copies by ``key``: one row per distinct value with its least id and number of rows."""
     have = rows.where(F.col(key).isNotNull())
-    reps = have.groupBy(key).agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    reps = Workspace(rows.sparkSession, "classes").write(have.groupBy(key).agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("n_rows")), "reps")
     return reps, have.join(reps.select(key, "class_id"), key).select(id_col, "class_id")
 
 

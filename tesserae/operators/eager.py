@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.workspace import Workspace
+
 
 def key_profile(df: DataFrame, key: str, sets: Mapping[str, Column] | None = None, counts: Mapping[str, Column] | None = None) -> DataFrame:
     """(key, n_rows, n_<name>..., <name>...) per non-null key.
@@ -39,8 +41,8 @@ def eager_join(
 ) -> DataFrame:
     """What ``left JOIN right USING (key) GROUP BY left_by, right_by`` gives for count and sums, without the joined rows.
 
-    Result: left_by..., right_by..., n_pairs, sum_<column>...; a sum of nulls only is null, as in SQL. Grouping columns hold
-    few values per key. Columns of the same name on both sides are told apart by their side: name ``left_by`` and
+    Result: left_by..., right_by..., n_pairs, sum_<column>...; a sum of nulls only is null, as in SQL. Grouping columns of the
+    right hold few values per key. Columns of the same name on both sides are told apart by their side: name ``left_by`` and
     ``right_by`` differently.
     """
     a = left.where(F.col(key).isNotNull()).groupBy(key, *left_by).agg(
@@ -49,7 +51,8 @@ def eager_join(
     b = right.where(F.col(key).isNotNull()).groupBy(key, *right_by).agg(
         F.count(F.lit(1)).alias("_nb"), *[F.sum(c).alias(f"_b_{c}") for c in right_sums]
     )
-    states = a.join(b, key)
+    # written, so that the join has a shuffle under each side and a key with many states of the left is split over tasks
+    states = a.join(Workspace(left.sparkSession, "states").write(b, "right"), key)
     aggs = [F.sum(F.col("_na") * F.col("_nb")).alias("n_pairs")]
     aggs += [F.sum(F.col(f"_a_{c}") * F.col("_nb")).alias(f"sum_{c}") for c in left_sums]
     aggs += [F.sum(F.col(f"_b_{c}") * F.col("_na")).alias(f"sum_{c}") for c in right_sums]

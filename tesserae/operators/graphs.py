@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.blocking import nearest
-from tesserae.workspace import ship
+from tesserae.workspace import Workspace, ship
 
 #: Dense kernels (all-pairs paths) are for graphs of up to so many vertices.
 DENSE_VERTICES = 2000
@@ -63,7 +63,8 @@ def edge_list(graph: DataFrame) -> DataFrame:
 def with_identity(graph: DataFrame, rows: DataFrame, id_col: str, key: str) -> DataFrame:
     """The graph with rows of one key linked at weight 1 through their least row (a star keeps them connected without all pairs)."""
     have = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(id_col).alias("dst"))
-    star = have.join(have.groupBy("k").agg(F.min("dst").alias("src")), "k").where("src <> dst").select("src", "dst", F.lit(1.0).alias("weight"))
+    least = Workspace(rows.sparkSession, "identity").write(have.groupBy("k").agg(F.min("dst").alias("src")), "least")
+    star = have.join(least, "k").where("src <> dst").select("src", "dst", F.lit(1.0).alias("weight"))
     return symmetric(graph.select("src", "dst", "weight").unionByName(star))
 
 

@@ -332,3 +332,52 @@ def q_combined_leakage(spark, sf_dir):
 
     s = samples(spark, sf_dir)
     return leakage.combined_share(leakage.affected(s, {"identity": "identity_id"}), leakage.affected(s, {"image": "image_path"}))
+
+
+@query("q_batches", "SELECT record_id, CAST(floor((row_number() OVER (ORDER BY record_id) - 1) / 64) AS BIGINT) AS batch FROM normalized_records")
+def q_batches(spark, sf_dir):
+    """Batches of 64 records in order."""
+    from tesserae.operators.sampling import batches
+
+    return batches(table(spark, sf_dir, "normalized_records").select("record_id"), "record_id", 64).select("record_id", "batch")
+
+
+@query("q_shuffled_batches", "SELECT record_id, CAST(floor((row_number() OVER (ORDER BY md5(record_id || ':7'), record_id) - 1) / 64) AS BIGINT) AS batch FROM normalized_records")
+def q_shuffled_batches(spark, sf_dir):
+    """Batches of 64 records, shuffled by a seed."""
+    from tesserae.operators.sampling import batches
+
+    return batches(table(spark, sf_dir, "normalized_records").select("record_id"), "record_id", 64, seed=7).select("record_id", "batch")
+
+
+@query("q_same_sources", f"""WITH {S.SAMPLES}, s AS (SELECT identity_id, list_sort(list(DISTINCT dataset_source) FILTER (split = 'train' AND dataset_source IS NOT NULL)) AS a,
+ list_sort(list(DISTINCT dataset_source) FILTER (split = 'test' AND dataset_source IS NOT NULL)) AS b FROM samples WHERE identity_id IS NOT NULL GROUP BY identity_id)
+SELECT identity_id, coalesce(a, []) = coalesce(b, []) AS same FROM s""")
+def q_same_sources(spark, sf_dir):
+    """Whether an identity's train and test rows come from the same sources."""
+    from tesserae.operators.sampling import same_set
+
+    of = lambda s: F.collect_set(F.when(F.col("split") == s, F.col("dataset_source")))
+    s = samples(spark, sf_dir).where("identity_id IS NOT NULL").groupBy("identity_id").agg(of("train").alias("a"), of("test").alias("b"))
+    return s.select("identity_id", same_set("a", "b").alias("same"))
+
+
+@query("q_label_maps", """WITH m AS (SELECT sample_id, list_filter([CASE WHEN dataset_sources.image_source IS NOT NULL THEN 'image=' || dataset_sources.image_source END,
+ CASE WHEN dataset_sources.audio_source IS NOT NULL THEN 'audio=' || dataset_sources.audio_source END, CASE WHEN dataset_sources.text_source IS NOT NULL THEN 'text=' || dataset_sources.text_source END], lambda x: x IS NOT NULL) AS l FROM aligned_samples)
+SELECT sample_id, array_to_string(l, ',') AS sources FROM m""")
+def q_label_maps(spark, sf_dir):
+    """The sources of each aligned sample as a map of what is there, written as text."""
+    from tesserae.operators.sampling import present_map
+
+    m = present_map({k: F.col(f"dataset_sources.{k}_source") for k in ("image", "audio", "text")})
+    a = table(spark, sf_dir, "aligned_samples").select("sample_id", m.alias("m"))
+    return a.select("sample_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("sources"))
+
+
+@query("q_value_summary", """SELECT 'rows' AS "column", CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM normalized_records UNION ALL SELECT 'source_dataset', source_dataset, count(*) FROM normalized_records GROUP BY source_dataset
+ UNION ALL SELECT 'split', split, count(*) FROM normalized_records GROUP BY split""")
+def q_value_summary(spark, sf_dir):
+    """The summary that is written beside a table of records."""
+    from tesserae.sources.exports import summary
+
+    return summary(table(spark, sf_dir, "normalized_records"), ["source_dataset", "split"])

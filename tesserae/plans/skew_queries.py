@@ -33,6 +33,17 @@ def _profile(spark, sf_dir, name, key):
     )
 
 
+@query("p4_identity_media", f"""WITH r AS (SELECT {sql_trim('audio_path')} AS k, {sql_key('identity_id')} AS identity_id FROM normalized_records),
+ a AS (SELECT {sql_trim('audio_path')} AS k, CAST(round(duration_sec*1000) AS BIGINT) AS ms FROM audio_features)
+SELECT identity_id, CAST(count(*) AS BIGINT) AS n_pairs, CAST(sum(ms) AS BIGINT) AS sum_ms FROM r JOIN a ON r.k=a.k WHERE r.k<>'' AND identity_id IS NOT NULL GROUP BY identity_id""")
+def p4_identity_media(spark, sf_dir):
+    """Audio features that each identity's records meet by audio path: both sides have keys that hold a tenth of all rows."""
+    k = squeeze("audio_path")
+    r = table(spark, sf_dir, "normalized_records").select(F.when(k != "", k).alias("k"), key_of("identity_id").alias("identity_id")).where("identity_id IS NOT NULL")
+    a = table(spark, sf_dir, "audio_features").select(F.when(k != "", k).alias("k"), F.round(F.col("duration_sec") * 1000).cast("long").alias("ms"))
+    return eager_join(r, a, "k", ["identity_id"], right_sums=["ms"])
+
+
 @query("p4_audio_join", f"""WITH r AS (SELECT {sql_trim('audio_path')} AS k, source_dataset AS record_source, {SQL_SPLIT} AS split FROM normalized_records),
  a AS (SELECT {sql_trim('audio_path')} AS k, sample_rate, CAST(round(duration_sec*1000) AS BIGINT) AS ms FROM audio_features)
 SELECT record_source, split, sample_rate, CAST(count(*) AS BIGINT) AS n_pairs, CAST(sum(ms) AS BIGINT) AS sum_ms

@@ -96,3 +96,38 @@ def test_drop_rules(spark):
     assert got == {"a": None, "b": "ambiguous_existing_split_links", "c": "oversized_hard_group", "d": "oversized_hard_group"}
     assert [r.group_id for r in splits.kept(groups, strict).collect()] == ["a"] and splits.kept(groups, splits.Policy()).count() == 4
     assert splits.kept(groups.limit(0), strict).count() == 0
+
+
+def test_written_results(spark, tmp_path):
+    from tesserae.sources import exports
+
+    df = spark.createDataFrame([("a", "train", "x", [1]), ("b", "val", None, []), ("c", None, "x", None)], "sample_id string, split string, source_dataset string, more array<int>")
+    exports.write_records(df, str(tmp_path), "normalised")
+    assert manifests.read_manifest(spark, f"{tmp_path}/normalised.csv").where("sample_id = 'a'").first().more == "[1]"
+    got = {(r.column, r.value, r.n) for r in spark.read.json(f"{tmp_path}/normalised_summary.json").collect()}
+    assert got == {("rows", None, 3), ("source_dataset", "x", 2), ("source_dataset", None, 1), ("split", "train", 1), ("split", "val", 1), ("split", None, 1)}
+    exports.write_splits(df, f"{tmp_path}/s")
+    counts = {n: spark.read.json(f"{tmp_path}/s/{n}.jsonl").count() for n in ("all", "train", "val")}
+    assert counts == {"all": 3, "train": 1, "val": 1} and spark.read.text(f"{tmp_path}/s/test.jsonl").count() == 0
+    exports.write_export(df, f"{tmp_path}/e")
+    assert [r.sample_id for r in manifests.read_export(spark, f"{tmp_path}/e", "val").collect()] == ["b"]
+    g = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, weight double")
+    exports.write_graph(g, spark.range(2), spark.range(1).select(F.lit(1).alias("n_edges")), f"{tmp_path}/g")
+    assert spark.read.parquet(f"{tmp_path}/g/edges.parquet").count() == 1 and spark.read.json(f"{tmp_path}/g/metadata.json").first().n_edges == 1
+
+
+def test_batches_sets_and_maps(spark):
+    from tesserae.operators import sampling
+
+    df = spark.range(10).repartition(3)
+    plain = {r.id: r.batch for r in sampling.batches(df, "id", 4).collect()}
+    assert plain == {i: i // 4 for i in range(10)}
+    mixed = {r.id: r.place for r in sampling.batches(df, "id", 4, seed=1).collect()}
+    assert sorted(mixed.values()) == list(range(10)) and mixed == {r.id: r.place for r in sampling.batches(df.repartition(7), "id", 4, seed=1).collect()}
+    assert sorted(mixed, key=mixed.get) == sorted(range(10), key=lambda i: hashlib.md5(f"{i}:1".encode()).hexdigest())
+    assert sampling.batches(df.limit(0), "id", 4).count() == 0
+    with pytest.raises(ValueError):
+        sampling.batches(df, "id", 0)
+    sets = spark.createDataFrame([(["a", "b"], ["b", "a", "a"]), (["a"], []), (None, None), (None, ["a"])], "a array<string>, b array<string>")
+    assert [r.s for r in sets.select(sampling.same_set("a", "b").alias("s")).collect()] == [True, False, True, False]
+    assert spark.range(1).select(sampling.present_map({"x": F.lit("1"), "y": F.lit(None).cast("string")}).alias("m")).first().m == {"x": "1"}

@@ -99,15 +99,15 @@ def grouped(samples: DataFrame, edges: DataFrame, id_col: str = "record_id") ->
     return labelled(samples, id_col, edges).withColumnRenamed("component", "group_id")
 
 
-def group_table(members: DataFrame) -> DataFrame:
-    """(group_id, size, n_splits, n_sources, n_emotions, n_image, n_audio, n_text, emotions, sources): the summary of each group; the last two are maps of counts."""
+def group_table(members: DataFrame, maps: bool = True) -> DataFrame:
+    """(group_id, size, n_splits, n_sources, n_emotions, n_image, n_audio, n_text, emotions, sources): the summary of each group; the last two are maps of counts, left out without ``maps``."""
     def counter(c: str) -> Column:
         return F.map_from_entries(F.collect_list(F.struct(c, "n")))
 
     base = members.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("size"), F.countDistinct("split").alias("n_splits"), F.countDistinct("dataset_source").alias("n_sources"),
         F.countDistinct("unified_emotion").alias("n_emotions"), F.count_if("has_image").alias("n_image"), F.count_if("has_audio").alias("n_audio"), F.count_if("has_text").alias("n_text"))
-    for name, c in (("emotions", "unified_emotion"), ("sources", "dataset_source")):  # bounded by taxonomy and sources
+    for name, c in (("emotions", "unified_emotion"), ("sources", "dataset_source")) if maps else ():  # bounded by taxonomy and sources
         m = members.where(F.col(c).isNotNull()).groupBy("group_id", c).agg(F.count(F.lit(1)).alias("n")).groupBy("group_id").agg(counter(c).alias(name))
         base = base.join(m, "group_id", "left")
     return base

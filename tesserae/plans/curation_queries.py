@@ -250,13 +250,13 @@ _STRICT = splits.Policy(quarantine_oversized=True, drop_ambiguous=True, max_grou
 SELECT * FROM r WHERE reason IS NOT NULL""")
 def q_dropped_groups(spark, sf_dir):
     """Groups that a strict policy leaves out of the assignment, with the reason."""
-    g = splits.with_drop_reason(splits.group_table(_members(spark, sf_dir)), _STRICT)
+    g = splits.with_drop_reason(splits.group_table(_members(spark, sf_dir), maps=False), _STRICT)
     return g.where("reason IS NOT NULL").select("group_id", "size", "reason")
 
 
 @query("q_assign_reserved")
 def q_assign_reserved(spark, sf_dir):
-    return splits.assign_reserved(splits.group_table(_members(spark, sf_dir)))
+    return splits.assign_reserved(splits.group_table(_members(spark, sf_dir), maps=False))
 
 
 @query("q_assign_balanced")

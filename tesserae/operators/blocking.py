@@ -99,6 +99,151 @@ def with_ratio(pairs: DataFrame, a: str, b: str, name: str = "ratio") -> DataFra
     return pairs.withColumn(name, ratio(token_line(a), token_line(b)))
 
 
+#: Characters of normalised lines, and how many rows of a block are compared with how many at once.
+_ALPHABET = " '0123456789abcdefghijklmnopqrstuvwxyz"
+_TILE = 2_048
+
+
+def line_vectors(lines: Sequence[str]) -> np.ndarray:
+    """``vectors.token_vector`` of normalised lines, equal to it to the last bit."""
+    n, at = pd.factorize(np.array([w for x in lines for w in x.split(" ")], dtype=object))
+    place = np.fromiter((sum(i * ord(c) for i, c in enumerate(w, 1)) % 64 for w in at), np.int64, len(at))
+    owner = np.repeat(np.arange(len(lines)), [x.count(" ") + 1 for x in lines])
+    counts = np.bincount(owner * 64 + place[n], minlength=64 * len(lines)).reshape(-1, 64).astype(float)
+    return counts / np.sqrt((counts * counts).sum(1, keepdims=True))
+
+
+def _characters(lines: Sequence[str]) -> np.ndarray:
+    raw = np.frombuffer("".join(lines).encode("ascii"), np.uint8)
+    code = np.zeros(128, np.int64)
+    code[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    k = len(_ALPHABET)
+    return np.bincount(owner * k + code[raw], minlength=k * len(lines)).reshape(-1, k).astype(np.float32)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row products, summed from the first component on as ``vectors.dot`` does."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, which no sum of matching blocks exceeds."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(b):
+        where[x] = where.get(x, 0) | (1 << i)
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where.get(x, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
+
+
+def _ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The matching-blocks ratio, or -1.0 where a bound shows it to be below ``least``."""
+    from difflib import SequenceMatcher
+
+    if least and 2.0 * _subsequence(a, b) / (len(a) + len(b)) < least:
+        return -1.0
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def _close_in_blocks(f: pd.DataFrame, cut: Sequence[int], cosine: float, ratio: float, unit: bool, both: bool) -> pd.DataFrame:
+    """The close pairs of the blocks (or pairs of parts of one) that begin at ``cut[:-1]``: see ``close_lines``."""
+    f = f.iloc[: cut[-1]]
+    lines, ids, own = f["line"].tolist(), f["id"].to_numpy(), f["own"].to_numpy()
+    side = pd.factorize(f["side"])[0] if "side" in f else None
+    v, c, size = line_vectors(lines), _characters(lines), np.array([len(x) for x in lines], np.float32)
+    v32, square, parted = v.astype(np.float32), (c * c).sum(1), (f["_p"] != f["_q"]).to_numpy()
+    found = []
+    for first, last in zip(cut, cut[1:]):
+        for lo in range(first, last if last - first > 1 else first, _TILE):
+            for up in range(lo, last, _TILE):
+                a, b = slice(lo, min(lo + _TILE, last)), slice(up, min(up + _TILE, last))
+                total = size[a][:, None] + size[b][None]
+                # the distance of the counts of characters bounds the ratio, and is at least their Euclidean distance
+                far = square[a][:, None] + square[b][None] - 2 * (c[a] @ c[b].T)
+                hit = (v32[a] @ v32[b].T >= 2 * cosine - 1 - 1e-4) | (far <= ((1 - ratio) * total + 1e-2) ** 2)
+                if side is not None:
+                    hit &= side[a][:, None] != side[b][None]
+                if parted[first]:
+                    hit &= own[a][:, None] != own[b][None]
+                i, j = np.nonzero(np.triu(hit, 1) if lo == up else hit)
+                if len(i):
+                    found.append((i + lo, j + up))
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+    out, length = [], np.sqrt(_in_order(v, v))
+    for k in range(0, len(i), 100_000):
+        p, q = i[k : k + 100_000], j[k : k + 100_000]
+        dot = _in_order(v[p], v[q])
+        sim = np.clip(((dot / (length[p] * length[q]) if unit else dot) + 1) / 2, 0.0, 1.0)
+        near, apart, total = sim >= cosine, np.abs(c[p] - c[q]).sum(1), size[p] + size[q]
+        may = near | ((total - apart) / total >= ratio - 1e-6)
+        p, q, sim, near = p[may], q[may], sim[may], near[may]
+        if both:  # only whether they are close, in either direction
+            there = np.array([n or _ratio(lines[x], lines[y], ratio) >= ratio for x, y, n in zip(p, q, near)], bool)
+            back = np.array([n or _ratio(lines[y], lines[x], ratio) >= ratio for x, y, n in zip(p, q, near)], bool)
+            ok = there | back
+            out.append(pd.DataFrame({"left_id": ids[p[ok]], "right_id": ids[q[ok]], "there": there[ok], "back": back[ok]}))
+        else:
+            r = np.array([_ratio(lines[x], lines[y], 0.0 if n else ratio) for x, y, n in zip(p, q, near)], float)
+            ok = near | (r >= ratio)
+            out.append(pd.DataFrame({"left_id": ids[p[ok]], "right_id": ids[q[ok]], "similarity": sim[ok], "ratio": r[ok]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+
+
+def close_lines(rows: DataFrame, block: Sequence[str], id_col: str, line: str, cosine: float, ratio: float, different: str | None = None, both: bool = False, unit: bool = False) -> DataFrame:
+    """Pairs of normalised lines (not empty) of one block, left_id < right_id, with a unit cosine of ``cosine`` or a matching-blocks ratio of ``ratio``.
+
+    (left_id, right_id, similarity, ratio), the ratio of left against right; with ``both`` (left_id, right_id, there, back): whether they
+    are close, and whether they are with the right one first. All pairs of a block are compared, by products of matrices; the ratio is
+    only worked out for pairs that bounds (counts of characters, common subsequence) leave. ``different`` names a column whose values
+    must differ, ``unit`` divides the cosine by the vectors' lengths once more, as ``vectors.cosine_same_size`` does. Large blocks are
+    dealt out in parts.
+    """
+    ship(rows.sparkSession)
+    kind = rows.schema[id_col].dataType.simpleString()
+    base = rows.select(*block, F.col(id_col).alias("id"), F.col(line).alias("line"), *([F.col(different).alias("side")] if different else []))
+    for c in [*block, *(["side"] if different else [])]:
+        base = base.where(F.col(c).isNotNull())
+    parts = _parts_of_blocks(base, block)
+    if parts is None:
+        base = base.withColumns({"own": F.lit(0), "_p": F.lit(0), "_q": F.lit(0)})
+    else:
+        # a row of part o stands in the places (least, greatest) of o and every part: two parts meet in one place
+        base = base.join(parts, list(block), "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int"))
+        base = base.withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        base = base.withColumn("_p", F.least("own", "_o")).withColumn("_q", F.greatest("own", "_o")).drop("_parts", "_o")
+    place = [*block, "_p", "_q"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by number: the work grows with the square of a block, so few bytes are no reason for few tasks
+    base = base.repartition(n, *place).sortWithinPartitions(*place)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            new = np.zeros(len(f), bool)
+            for c in place:
+                x = f[c].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            cut = [0, *np.flatnonzero(new).tolist()]
+            rest = f.iloc[cut[-1] :]
+            if len(cut) > 1 and len(out := _close_in_blocks(f, cut, cosine, ratio, unit, both)):
+                yield out
+        if rest is not None and len(out := _close_in_blocks(rest, [0, len(rest)], cosine, ratio, unit, both)):
+            yield out
+
+    found = "there boolean, back boolean" if both else "similarity double, ratio double"
+    return base.mapInPandas(run, f"left_id {kind}, right_id {kind}, {found}")
+
+
 def leader_clusters(rows: DataFrame, block: str, id_col: str, vec: str, least_cosine: float) -> DataFrame:
     """(id, leader): greedy leader clusters within blocks, in order of id: the first free row leads and takes all free rows at least that close."""
     ship(rows.sparkSession)

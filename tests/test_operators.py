@@ -180,6 +180,39 @@ def test_fuzzy_ratio(spark):
     assert [round(r.ratio, 3) for r in blocking.with_ratio(df, "a", "b").collect()] == [1.0, 0.75, 0.0]
 
 
+def test_close_lines_are_those_of_all_pairs(spark, monkeypatch):
+    from tesserae.functions import vectors as V
+
+    rng = np.random.default_rng(5)
+    words_ = ["red", "boat", "storm", "quiet", "evening", "rain", "o'clock", "7", "harbour", "came"]
+    base = [" ".join(rng.choice(words_, 40 if k % 2 else 12)) for k in range(6)]
+    lines = [" ".join(w if rng.random() > 0.04 else rng.choice(words_) for w in base[k % 6].split(" ")) for k in range(60)]
+    df = spark.createDataFrame([(k // 40, 100 - k, x, "ab"[k % 2]) for k, x in enumerate(lines)] + [(None, 200, "x", "a"), (1, 201, "x", "a")], "b long, id long, line string, split string")
+    sim = lambda a, b: V.clamp01((V.dot(a, b) + 1) / 2)
+    every = blocking.blocked_pairs(df.withColumn("v", V.token_vector("line")), ["b"], "id", ["v", "line"], lambda a, b: F.lit(True))
+    want = blocking.with_ratio(every.withColumn("similarity", sim("left_v", "right_v")), "left_line", "right_line").where("similarity >= 0.96 OR ratio >= 0.9")
+    want = rows(want.select("left_id", "right_id", "similarity", "ratio"))
+    for block_rows in (4_096, 7):
+        monkeypatch.setattr(blocking, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(blocking, "_TILE", 16)
+        assert rows(blocking.close_lines(df, ["b"], "id", "line", 0.96, 0.9)) == want
+    got = rows(blocking.close_lines(df, ["b"], "id", "line", 0.96, 0.9, different="split", both=True).where("there").select("left_id", "right_id"))
+    of = {r.id: r.split for r in df.collect()}
+    assert len(want) > 50 and got == [x[:2] for x in want if of[x[0]] != of[x[1]]]
+
+
+def test_large_blocks_of_lines_end_soon(spark):
+    import time
+
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    lines = [" ".join("".join(rng.choice(letters, 6)) for _ in range(30)) for _ in range(1500)]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "b long, id long, line string")
+    began = time.time()
+    assert blocking.close_lines(df, ["b"], "id", "line", 0.96, 0.97).count() == 0
+    assert time.time() - began < 60  # a million ratios of 209 characters took many minutes
+
+
 def test_strided_sample_visits_the_stated_places(spark):
     import hashlib
 

@@ -80,13 +80,20 @@ def near_matches(samples: DataFrame, id_col: str = "record_id", hash_bits: int =
     for samples that have these columns. Texts (``content_keys``) match within ``blocking.text_block``; those whose exact text leaks are left out.
     """
     take = lambda pairs, kind: pairs.select(F.lit(kind).alias("kind"), "left_id", "right_id")
+    ws = Workspace(samples.sparkSession, "near")
     exact = leaking_keys(samples, "text_key").select("text_key")
-    texts = samples.where(F.col("text_key").isNotNull()).join(exact, "text_key", "left_anti")
-    texts = texts.withColumns(dict(zip(("_1", "_2", "_3", "_4"), blocking.text_block("text", "unified_emotion")))).withColumn("_2", F.coalesce("_2", F.lit(""))).withColumn("_v", V.token_vector("text")).withColumn("_n", F.length(token_line("text")))
-    pairs = blocking.blocked_pairs(texts, ["_1", "_2", "_3", "_4"], id_col, ["text", "_v", "_n"], lambda a, b: F.lit(True), different=["split"]).withColumn("cosine", V.cosine_same_size("left__v", "right__v"))
-    # no ratio is above that of two texts of which one holds the other
-    pairs = pairs.where((F.col("cosine") >= text) | (2 * F.least("left__n", "right__n") >= ratio * (F.col("left__n") + F.col("right__n"))))
-    out = take(blocking.with_ratio(pairs, "left_text", "right_text").where((F.col("cosine") >= text) | (F.col("ratio") >= ratio)), "text_near")
+    rows = samples.where(F.col("split").isNotNull()).join(exact, "text_key", "left_anti").where(F.col("text_key").isNotNull())
+    rows = rows.select(F.col(id_col).alias("_id"), "text_key", F.col("unified_emotion").alias("_e"), "split", token_line("text").alias("line"))
+    # the copies of a text that does not leak stand in one split, so texts are compared once, whatever the number of their copies
+    texts = ws.write(rows.groupBy("text_key", "_e").agg(F.min("_id").alias("class_id"), F.first("split").alias("split"), F.first("line").alias("line")), "texts")
+    blocks = texts.select("class_id", "line", "split", *blocking.text_block("line", "_e")).withColumn("token2", F.coalesce("token2", F.lit("")))
+    pairs = ws.write(blocking.close_lines(blocks, ["token1", "token2", "band", "emotion"], "class_id", "line", text, ratio, different="split", both=True, unit=True), "pairs")
+    for side in ("left", "right"):
+        pairs = pairs.join(texts.select(F.col("class_id").alias(f"{side}_id"), "text_key", "_e"), f"{side}_id").drop(f"{side}_id").join(
+            rows.select(F.col("_id").alias(side), "text_key", "_e"), ["text_key", "_e"]).drop("text_key", "_e")
+    # the ratio is that of the row of the smaller id against the other
+    pairs = pairs.where(((F.col("left") < F.col("right")) & F.col("there")) | ((F.col("left") > F.col("right")) & F.col("back")))
+    out = take(pairs.select(F.least("left", "right").alias("left_id"), F.greatest("left", "right").alias("right_id")), "text_near")
     if "image_hash" in samples.columns:
         have = samples.where(F.col("image_hash").isNotNull()).withColumn("_p", F.substring("image_hash", 1, 6))
         vector = ["image_vector"] if "image_vector" in samples.columns else []

@@ -115,12 +115,21 @@ def match_summary(samples: DataFrame, matches: DataFrame) -> DataFrame:
 
 def cross_dataset_matches(samples: DataFrame, matches: DataFrame, id_col: str = "record_id") -> DataFrame:
     """(source_a, source_b, n_pairs): distinct pairs of rows of two sources that match nearly, or whose exact text leaks across splits."""
-    side = lambda s: samples.select(F.col(id_col).alias(f"{s}_id"), F.col("dataset_source").alias(f"{s}_source"))
+    names = ("source_a", "source_b")
+    ordered = lambda a, b: [F.least(a, b).alias(names[0]), F.greatest(a, b).alias(names[1])]
+    side = lambda s: samples.select(F.col(id_col).alias(f"{s}_id"), F.col("dataset_source").alias(f"{s}_source"), F.col("text_key").alias(f"{s}_key"))
     leaks = leaking_keys(samples, "text_key").select("text_key")
-    same = blocking.blocked_pairs(samples.join(leaks, "text_key", "left_semi"), ["text_key"], id_col, [], lambda a, b: F.lit(True), different=["dataset_source"])
-    pairs = matches.select("left_id", "right_id").unionByName(same.select("left_id", "right_id")).distinct()
-    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").where("left_source <> right_source")
-    return both.groupBy(F.least("left_source", "right_source").alias("source_a"), F.greatest("left_source", "right_source").alias("source_b")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    # rows of one leaking text pair by the numbers of its rows in every source, so that many copies make no pairs of rows
+    per = samples.where(F.col("dataset_source").isNotNull()).join(leaks, "text_key", "left_semi").groupBy("text_key", "dataset_source").agg(F.count(F.lit(1)).alias("n"))
+    per = Workspace(samples.sparkSession, "sources").write(per, "per")
+    same = per.select("text_key", F.col("dataset_source").alias(names[0]), F.col("n").alias("m")).join(
+        per.select("text_key", F.col("dataset_source").alias(names[1]), "n"), "text_key").where("source_a < source_b").select(*names, (F.col("m") * F.col("n")).alias("k"))
+    # near matches of other kinds may be of one leaking text as well
+    near = matches.select("left_id", "right_id").distinct().join(side("left"), "left_id").join(side("right"), "right_id").where("left_source <> right_source")
+    near = near.join(leaks.select(F.col("text_key").alias("left_key"), F.lit(True).alias("_leaks")), "left_key", "left")
+    near = near.where(~(F.coalesce("_leaks", F.lit(False)) & F.coalesce(F.col("left_key") == F.col("right_key"), F.lit(False))))
+    both = same.unionByName(near.select(*ordered("left_source", "right_source"), F.lit(1).cast("long").alias("k")))
+    return both.groupBy(*names).agg(F.sum("k").alias("n_pairs"))
 
 
 #: The checks by name, and what else runs with one: the cross-modal check with that of speakers, the cross-data-set one with duplicates.

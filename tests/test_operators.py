@@ -213,6 +213,18 @@ def test_large_blocks_of_lines_end_soon(spark):
     assert time.time() - began < 60  # a million ratios of 209 characters took many minutes
 
 
+def test_copies_of_texts_are_counted_without_pairs_of_rows(spark, records):
+    many = [dict(record_id=i, sample_id=f"s{i}", split=("train", "test")[i % 2], source_dataset=("a", "b", "c")[i % 3], unified_emotion="happy", text="one form of consent") for i in range(3000)]
+    near = [dict(record_id=9000 + i, sample_id=f"n{i}", split=("train", "val")[i % 2], source_dataset=("a", "b")[i % 2], unified_emotion="sad",
+                 text=("the small boat came home before the storm", "the small boat came home before the storms")[i % 2]) for i in range(10)]
+    s = leakage.content_keys(normalize.samples(records(*many, *near)))
+    m = leakage.near_matches(s)
+    assert m.count() == 25
+    # an image match of two rows of one leaking text is the pair that the text gives already
+    more = m.unionByName(spark.createDataFrame([("image_near", 0, 1), ("image_near", 2, 9000)], "kind string, left_id long, right_id long"))
+    assert rows(leakage.cross_dataset_matches(s, more)) == [("a", "b", 1_000_025), ("a", "c", 1_000_001), ("b", "c", 1_000_000)]
+
+
 def test_strided_sample_visits_the_stated_places(spark):
     import hashlib
 

@@ -237,6 +237,23 @@ def test_strided_sample_visits_the_stated_places(spark):
     assert numbered.count() == 100
 
 
+def test_candidates_picked_in_groups_are_the_chosen_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shared = rng.normal(size=(40, 64))
+    shared[3] = 0
+    kinds = ["happy", "surprised", "sad", "neutral"]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(shared)], "slot int, vec array<double>")
+    pool = spark.createDataFrame([(i, "ab"[i % 2], kinds[i % 3 if i < 390 else 3], i % 40, f"p{i}") for i in range(400)], "record_id long, dataset_source string, unified_emotion string, slot int, name string")
+    anchors = spark.createDataFrame([(i, kinds[i % 4], (i * 3) % 40) for i in range(200)], "anchor_id long, anchor_emotion string, anchor_slot int")
+    monkeypatch.setattr(align, "RESIDUES", 2)
+    for related in (True, False):
+        a = anchors.join(v.select(F.col("slot").alias("anchor_slot"), F.col("vec").alias("anchor_vec")), "anchor_slot").drop("anchor_slot")
+        want = align.chosen(align.candidates(a, pool.join(v, "slot"), "record_id", "vec", "x", related=related), F.col("emotion_score") * 0.7 + F.col("similarity") * 0.3)
+        got = align.picked(anchors, pool, "record_id", shared, "x", lambda e, s, a, p, i: e * 0.7 + s * 0.3, ["name", "slot"], related=related)
+        cols = ["anchor_id", "name", "emotion_score", "similarity", "composite"]
+        assert got.count() == 200 and rows(got.select(*cols)) == rows(want.select(*cols))
+
+
 def test_fusion_and_gate(spark):
     df = spark.createDataFrame([(1.0, 0.9, 0.8, 0.7, 0.6)], "e double, i double, c double, b double, t double")
     r = df.select(align.fused_score("e", "i", "c", "b", "t").alias("x")).first().x

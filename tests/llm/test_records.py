@@ -3,11 +3,13 @@
 import collections
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import words
 from tesserae.llm import canonical, collapse, consolidate, cube, grouped_split, overlap
 
 WORD = re.compile(r"[^\W_]+")
@@ -297,6 +299,48 @@ def test_blocks_and_radius_lose_few_of_the_least_near_pairs():
     assert all(lcs(a, b) >= 32 for a, b in zip(left[:50], right)) and lost.mean() < 0.02, lost.mean()
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def variants(records, n):
+    rng = np.random.default_rng(11)
+    texts = [[f"w{k}" for k in rng.integers(0, 900, 30)] for _ in range(n // 2)]
+    for t in texts[: n // 2]:
+        texts.append([w if k != 7 else "other" for k, w in enumerate(t)])
+    side = ["train" if i < n // 2 else "test" for i in range(n)]
+    return records(*[dict(record_id=i, sample_id=f"s{i:03d}", split=side[i], source_dataset="src", text=" ".join(t)) for i, t in enumerate(texts)])
+
+
+def test_rounds_of_blocks_leave_no_shuffle_files(spark, records):
+    r, shared = variants(records, 120), spark.createDataFrame([], "media_path string, media_kind string")
+    before = shuffle_files(spark)
+    run = overlap.Overlap(r, shared)
+    links = run.ws.write(run.text_links(), "links")
+    until = time.time() + 5
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert links.count() == 60
+
+
+def test_blocks_of_many_texts_find_as_much(spark, records, monkeypatch):
+    monkeypatch.setattr(overlap, "MANY_TEXTS", 1)
+    run = overlap.Overlap(variants(records, 120), spark.createDataFrame([], "media_path string, media_kind string"))
+    assert pairs(run.sample_pairs()) == {(f"s{i:03d}", f"s{i + 60:03d}") for i in range(60)}
+    for j in np.arange(0.22, 1, 0.01):
+        assert (1 - j**overlap.PER_MANY_BLOCK) ** overlap.MANY_BLOCKS <= (1 - j**overlap.PER_BLOCK) ** overlap.BLOCKS
+
+
+def test_lines_are_the_words_of_a_text(spark):
+    odd = [None, "", " ", "...", "a", " A, b!c ", "Straße_12 İx é e\u0301 \u00a0 東京 ١٢ x²", "\n\ta\r\nb\t", "--a--"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(words("t").alias("w"), overlap.line_of("t").alias("l")).withColumn("n", overlap.n_words("l")).collect()
+    for r in rows:
+        assert (r.l is None and r.w is None) or r.l == " ".join(r.w)
+        assert not r.w or r.n == len(r.w)
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hot", [20_000, 3])

@@ -333,6 +333,16 @@ def test_blocks_of_many_texts_find_as_much(spark, records, monkeypatch):
         assert (1 - j**overlap.PER_MANY_BLOCK) ** overlap.MANY_BLOCKS <= (1 - j**overlap.PER_BLOCK) ** overlap.BLOCKS
 
 
+def test_minima_do_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(2)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 300, rng.integers(12, 60))) for _ in range(overlap.TEXTS_AT_ONCE + 40)]
+    common = frozenset(f"w{k}" for k in range(120)) | set(lines[3].split(" "))
+    for whole, last in zip(overlap.fingerprints(lines, common), overlap.fingerprints(lines[-50:], common)):
+        assert (whole[-50:] == last).all()
+    for whole, one in zip(overlap.fingerprints(lines, common), overlap.fingerprints(lines[3:4], common)):
+        assert (whole[3] == one[0]).all()
+
+
 def test_lines_are_the_words_of_a_text(spark):
     odd = [None, "", " ", "...", "a", " A, b!c ", "Straße_12 İx é e\u0301 \u00a0 東京 ١٢ x²", "\n\ta\r\nb\t", "--a--"]
     rows = spark.createDataFrame([(t,) for t in odd], "t string").select(words("t").alias("w"), overlap.line_of("t").alias("l")).withColumn("n", overlap.n_words("l")).collect()
